@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from sparkloom.llm.chat_format import op7_chat_format
+from sparkloom.llm.pack_binary import op2_pack_binary
+from sparkloom.llm.secret_scan import op1_secret_scan
 from sparkloom.llm.sql import ORACLES
 
-QUERIES = {f.__name__: f for f in (op7_chat_format,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_pack_binary, op7_chat_format)}
 
 __all__ = ["ORACLES", "QUERIES"]
