@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -65,3 +68,19 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The strings of a column as UTF-8 bytes; null becomes empty."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     return [x or b"" for x in col.to_pylist()]
+
+
+def kept_in_process(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` returned when this Python process first asked for `name`: a worker that is used again keeps it."""
+    store = sys.modules.setdefault("_sparkloom_process", types.ModuleType("_sparkloom_process")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def fresh(taken: list[str], stem: str) -> str:
+    """A column name from `stem` that none of `taken` equals, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while stem.lower() in lower:
+        stem += "_"
+    return stem

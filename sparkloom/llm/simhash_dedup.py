@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, slices, table, texts
+from sparkloom.llm.common import fresh, materialise, slices, table, texts
 from sparkloom.llm.components import connected_components
 
 RADIUS = 3
@@ -69,13 +69,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def prints_of(batch: list[bytes]) -> np.ndarray:
+    """Fingerprints of texts, as signed longs."""
+    found = [shingle_hashes(t) for t in batch]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    hashes = np.fromiter((h for row in found for h in row), np.uint64, int(counts.sum()))
+    return majority(hashes, counts).view(np.int64)
+
+
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        found = [shingle_hashes(t) for t in texts(batch, "text")]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        hashes = np.fromiter((h for row in found for h in row), np.uint64, int(counts.sum()))
-        prints = majority(hashes, counts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints_of(texts(batch, "text")))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -205,6 +209,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(all_prints, "fp").select("doc_id", "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the least doc_id (null last; then the least hash of the row), with all columns; of rows equal throughout, one."""
+    key, mark = fresh(docs.columns, "key"), fresh(docs.columns, "mark")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), mark: F.xxhash64(*docs.columns)})
+    rows = materialise(keyed.select(F.col(key).alias("id"), F.col(mark).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(row_prints, "id long, mark long, fp long"))
+    distinct = materialise(rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")))
+    roots = connected_components(linked(distinct)).withColumnsRenamed({"id": "fp"})
+    least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = least.select(F.col("first.id").alias(key), F.col("first.mark").alias(mark))
+    return keyed.join(stay.hint("shuffle_hash"), [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
+
+
+def row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints_of(texts(batch, "text")))], names=["id", "mark", "fp"])
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
