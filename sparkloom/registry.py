@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from importlib import import_module
 
+FAMILIES = ("usage",)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in FAMILIES:
+    _family = import_module(f"sparkloom.plans.{_name}")
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of documents by language."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+def flagship(spark, sf_dir):
+    return QUERIES["g2_by_filter"](spark, sf_dir)
