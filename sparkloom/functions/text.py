@@ -79,13 +79,13 @@ def complexity(source: Column) -> Column:
 
 
 def semver(version: Column) -> Column:
-    """(major, minor, patch) of a version: a leading v dropped, cut at the first - or +, what is missing is zero."""
-    parts = F.split(F.regexp_extract(F.regexp_replace(version, r"^[vV]", ""), r"^[^-+]*", 0), r"\.")
-    number = lambda i: F.coalesce(F.regexp_extract(F.coalesce(F.get(parts, i), F.lit("")), r"^([0-9]{1,9})", 1).try_cast("int"), F.lit(0))
-    return F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"))
+    """(major, minor, patch) of a version, null if it has none: a leading v dropped, cut at the first - or +, missing parts zero, what follows the digits of the patch ignored."""
+    form = r"^\s*v?([0-9]{1,9})(?:\.([0-9]{1,9}))?(?:\.([0-9]{0,9})[^-+]*)?(?:[-+].*)?\s*\z"
+    number = lambda i: F.coalesce(F.regexp_extract(version, form, i).try_cast("int"), F.lit(0))
+    return F.when(version.rlike(form), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch")))
 
 
 def satisfies(version: Column, operator: Column, bound: Column) -> Column:
     """Whether a version stands in a relation (<, <=, >, >=, ==) to another."""
     a, b = semver(version), semver(bound)
-    return F.when(operator == "<", a < b).when(operator == "<=", a <= b).when(operator == ">", a > b).when(operator == ">=", a >= b).when(operator == "==", a == b).otherwise(False)
+    return F.coalesce(F.when(operator == "<", a < b).when(operator == "<=", a <= b).when(operator == ">", a > b).when(operator == ">=", a >= b).when(operator == "==", a == b), F.lit(False))

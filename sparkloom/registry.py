@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage", "logs")
+FAMILIES = ("usage", "logs", "scan")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in FAMILIES:
