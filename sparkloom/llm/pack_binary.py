@@ -5,8 +5,8 @@ piece is a sequence by itself, so none crosses documents and, its length being a
 of one length form a bucket; sequence numbers run by partition, bucket and count, so a reader takes equal lengths
 together without a shuffle.
 
-Token ids: the tokenizer never joins characters across white space, so ids of a text are those of its words in order.
-Words are encoded once and remembered as packed ids (a bounded number), and a text's ids are one join of bytes.
+Token ids: the tokenizer never joins characters across white space, so ids of a text are those of its pieces in order.
+Pieces are encoded once and remembered as packed ids (a bounded number), and a text's ids are one join of bytes.
 
 Defined cases: null text counts as empty and is one piece with the end id; null and repeated ids are packed row by row
 as documents of their own; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, table, texts
+from sparkloom.llm.common import kept_in_process, slices, table, texts
 
 LONGEST = 2048
 END_ID = 1
-#: Words that a task remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 500_000
-PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-;=?-{}~]*")
-PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Pieces that a worker process remembers, over its tasks; beyond that it forgets all and begins anew.
+REMEMBERED = 1_000_000
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-;=?-{}~ \t-\r]*")
+PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t-\r]+")
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -45,12 +43,12 @@ def decompose(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + bits
 
 
-class WordIds(dict):
-    """Word to packed little-endian ids.
+class PieceIds(dict):
+    """Piece to packed little-endian ids.
 
-    A word of Latin letters, digits and plain punctuation is cut into runs of letters, lower-cased, and the rest: the
-    tokenizer lower-cases, and ends its own pieces there. Other words, and those with an apostrophe or angle bracket
-    (contractions, control strings), are encoded as they are. `pieces` outlives the task in a worker that is used again.
+    A text of Latin letters, digits, white space and plain punctuation is cut into runs of letters, lower-cased, and
+    runs of the rest: the tokenizer lower-cases, and ends its own pieces there. In other texts, words with an apostrophe
+    or angle bracket (contractions, control strings) or with other characters stay whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -58,20 +56,21 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        kept = sys.modules.setdefault("_sparkloom_pieces", types.ModuleType("_sparkloom_pieces"))
-        self.pieces: dict[str, bytes] = kept.__dict__.setdefault(hashlib.sha256(tokenizer_json.encode()).hexdigest(), {})
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+    def cut(self, text: bytes) -> list[str]:
+        whole = text.decode()
+        if PLAIN.fullmatch(whole):
+            return PIECE.findall(whole.lower())
+        pieces = []
+        for word in text.split():
+            word = word.decode()
+            pieces += PIECE.findall(word.lower()) if PLAIN.fullmatch(word) else [word]
+        return pieces
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self) > REMEMBERED:
             self.clear()
-            new = list(words)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        cut = [PIECE.findall(w.lower()) if PLAIN.fullmatch(w) else [w] for w in (w.decode() for w in new)]
-        self.encode(list(set().union(*cut) - self.pieces.keys()))
-        for word, parts in zip(new, cut):
-            self[word] = b"".join([self.pieces[p] for p in parts])
+        self.encode(list(pieces - self.keys()))
 
     def encode(self, pieces: list[str]) -> None:
         """Encode many pieces in one call, joined by spaces; a token belongs to the piece that it starts in."""
@@ -83,22 +82,24 @@ class WordIds(dict):
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             for piece, a, b in zip(part, cuts, cuts[1:]):
-                self.pieces[piece] = packed[a:b]
+                self[piece] = packed[a:b]
 
 
 def packer(tokenizer_json: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    name = "pieces " + hashlib.sha256(tokenizer_json.encode()).hexdigest()
+
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer_json)
+        known = kept_in_process(name, lambda: PieceIds(tokenizer_json))
         task = TaskContext.get()
         partition = task.partitionId() if task else 0
         counts = [0] * LONGEST.bit_length()
         end = END_ID.to_bytes(4, "little")
         schema = pa.schema(FIELDS + [("ids", pa.binary())] * with_ids)
         for batch in slices(batches, "text"):
-            words = [t.split() for t in texts(batch, "text")]
-            known.learn(set().union(*words))
+            cut = [known.cut(t) for t in texts(batch, "text")]
+            known.learn(set().union(*cut))
             columns: list[list] = [[] for _ in schema]
-            for doc_id, row in zip(batch.column(0).to_pylist(), words):
+            for doc_id, row in zip(batch.column(0).to_pylist(), cut):
                 ids = b"".join(map(known.__getitem__, row)) + end
                 n, start = len(ids) // 4, 0
                 for length in decompose(n):
