@@ -252,7 +252,7 @@ def boost(counts: dict[int, tuple[float, float]]) -> Model:
 def fit(found: DataFrame) -> Model:
     """The model of a table with a column `candidates`."""
     strict = found.select(F.explode("candidates").alias("c")).where(F.col("c.kind") < len(BASE))
-    counted = strict.groupBy("c.code").agg(F.count_if("c.passes").alias("good"), F.count_if(~F.col("c.passes")).alias("bad")).collect()
+    counted = strict.groupBy("c.code").agg(F.count_if(F.col("c.passes")).alias("good"), F.count_if(~F.col("c.passes")).alias("bad")).collect()
     return boost({r["code"]: (r["good"], r["bad"]) for r in counted})
 
 
