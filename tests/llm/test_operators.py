@@ -1,0 +1,439 @@
+"""Each operator against a plain version of its contract, on small rows with the awkward cases among them."""
+
+import array
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from sparkloom.llm import chat_format, decontaminate, license_scan, pack_binary, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, suffix_dedup, weak_labels
+from sparkloom.llm.components import connected_components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+HEX40 = hashlib.sha1(b"x").hexdigest()
+VERY_LONG = "lorem ipsum dolor " * 4000
+
+
+def documents(spark, rows):
+    """Documents with a column too many, whose name operators use inside."""
+    schema = "doc_id long, text string, lang string, id string, fp string, spans string, n_chars long"
+    return spark.createDataFrame([(d, t, None, "x", "y", None, None) for d, t in rows], schema).repartition(3)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "one two three four five six seven"), (4, "same text here"), (4, "same text here"), (5, "é" * 5000), (6, VERY_LONG)]
+
+
+# --- secrets
+
+
+def plain_secrets(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secrets(spark):
+    key = "AKI" + "A" + "ABCDEFGH12345678"
+    texts = ["é tok" + f'en = "{HEX40}" é', key + " " + key[:10], "secret=token: abcdefgh", "PASS" + "WORD: 'x.y-z/1' api_key=short", HEX40 + HEX40, "toſken=abcdefgh"]
+    rows = ODD + [(100 + k, t) for k, t in enumerate(texts)]
+    found = {(r.doc_id, r.base_sha256) for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    assert found == {(d, hashlib.sha256(plain_secrets(t or "").encode()).hexdigest()) for d, t in rows}
+
+
+def test_entropy_windows():
+    import math
+
+    random.seed(3)
+    for _ in range(40):
+        text = bytes(random.choice(b"abcdefXYZ0123456789") for _ in range(random.randint(1, 70)))
+        want = set()
+        for a in range(len(text) - 19):
+            n = Counter(text[a : a + 20])
+            if -sum(c / 20 * math.log2(c / 20) for c in n.values()) >= 3.5 - 1e-9:
+                want |= set(range(a, a + 20))
+        assert {k for a, b in secret_scan.hot_windows(text, 3.5) for k in range(a, b)} == want
+
+
+def test_entropy_spans_and_allow_list():
+    token = b"q7Zk2Lw9Xp4Vn8Rt3Ym6Bc1D"
+    assert secret_scan.entropy_spans(b"use " + token + b" now", [])
+    assert not secret_scan.entropy_spans(b"use " + token + b" now", [(0, 40, 0)])
+    for quiet in (b"ThisIsSomeVeryLongIdentifierName", b"12345678901234567890123456", b"123e4567-e89b-12d3-a456-426614174000", b"EXAMPLE" + token):
+        assert not secret_scan.entropy_spans(quiet, [])
+
+
+def test_secrets_of_nothing(spark):
+    assert secret_scan.scan_secrets(documents(spark, [])).count() == 0
+
+
+# --- packing
+
+
+def test_pack(spark):
+    import tokenizers
+
+    path = pack_binary.public_tokenizer()
+    whole = tokenizers.Tokenizer.from_file(path)
+    texts = ["It's  Don'T", "<|endoftext|>x y<|startoftext|>", "á b ́c ΑΣ Σ", "x y z\x85q\x1cw", "日本語 テスト 123", "a&&& b*** (c)", "AÀÿß×÷", "word " * 5000]
+    rows = ODD + [(100 + k, t) for k, t in enumerate(texts)]
+    found = pack_binary.pack_documents(documents(spark, rows), path).collect()
+    assert len({r.sequence_id for r in found}) == len(found)
+    assert all(r.offset == 0 and r.length == 1 << r.bucket and r.length <= 2048 for r in found)
+    for d, t in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
+        own = sorted((r for r in found if r.doc_id == d), key=lambda r: r.start)
+        copies = sum(x == d for x, _ in rows)
+        assert [r.start for r in own[::copies]] == [sum(r.length for r in own[::copies][:k]) for k in range(len(own[::copies]))]
+        assert array.array("I", b"".join(r.ids for r in own[::copies])).tolist() == ids
+        assert {r.doc_tokens for r in own} == {len(ids)}
+
+
+def test_decompose():
+    for n in (1, 2, 3, 2047, 2048, 2049, 5000):
+        parts = pack_binary.decompose(n)
+        assert sum(parts) == n and all(p & (p - 1) == 0 and p <= 2048 for p in parts)
+
+
+# --- repeats
+
+
+def plain_repeats(rows):
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[d] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), kept)
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 21, 700])
+def test_repeats(spark, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "SLICE", size)
+    monkeypatch.setattr(suffix_dedup, "ARRAY", size)
+    random.seed(5)
+    pool = ["".join(random.choice("abcdé ") for _ in range(random.choice([60, 99, 100, 101, 150, 400]))) for _ in range(8)]
+    rows = [(3 * k - 20, "".join(random.choice(pool) if random.random() < 0.6 else "".join(random.choice("xyz wé") for _ in range(random.randint(0, 180))) for _ in range(random.randint(0, 6)))) for k in range(40)]
+    rows += [(1000, "a" * 99), (1001, "a" * 100), (1002, "a" * 101), (1003, "a" * 500), (1004, "ab" * 300), (1005, None), (1006, ""), (None, pool[-1] * 2)]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect()}
+    assert found == plain_repeats(rows)
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = "the same passage of a good length " * 2 + "".join(chr(97 + k % 26) + chr(97 + k // 26) for k in range(200))
+    found = suffix_dedup.remove_repeats(documents(spark, [(7, text), (7, text), (8, text)])).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_removed) for r in found] == [(7, 0), (7, 0), (8, len(text))]
+    assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
+
+
+# --- quality
+
+
+def plain_quality(text):
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    again = {j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(again), failed
+
+
+def prose(seed, n=120):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("aeiounrstl") for _ in range(rng.randint(3, 8))) + ("." if k % 12 == 11 else "") for k in range(n))
+
+
+def test_quality_rules(spark):
+    rows = ODD + [(100 + k, prose(k) + "\n" + prose(k + 1, 8) + "\n" + prose(k + 1, 8)) for k in range(30)] + [(200 + k, " ".join(w + "$$$" for w in prose(k).split())) for k in range(6)] + [(300, "no no no " * 60), (301, "a\x0bb\x0cc\x1cd e\n\n \na\x0bb")]
+    found = quality_rules.judge_quality(documents(spark, rows)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found), key=str)
+    assert got == sorted(((d, *plain_quality(t or "")) for d, t in rows), key=str)
+    kept = {r.doc_id: r.kept for r in sorted(found, key=key)}
+    assert all(kept[100 + k] for k in range(30)) and not any(kept[200 + k] for k in range(6)) and not kept[300] and not kept[1]
+    assert quality_rules.judge_quality(documents(spark, [])).count() == 0
+
+
+def test_weak_labels_recover_accuracies():
+    rng = random.Random(1)
+    right = [0.95, 0.9, 0.8, 0.75, 0.6]
+    patterns = Counter()
+    for _ in range(20000):
+        truth = 1 if rng.random() < 0.7 else -1
+        patterns[tuple(0 if rng.random() < 0.2 else truth if rng.random() < a else -truth for a in right)] += 1
+    model = weak_labels.fit(patterns, 5)
+    assert all(abs(a - b) < 0.04 for a, b in zip(model.accuracies(), right))
+    assert weak_labels.decode(weak_labels.encode((1, 0, -1, 1, -1)), 5) == (1, 0, -1, 1, -1)
+    assert abs(weak_labels.fit({}, 3).posterior((0, 0, 0)) - 0.5) < 1e-9
+
+
+def test_classifier_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    found = quality_classifier.op4_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    n, right, lost = found.agg(F.count("*"), F.count_if(F.col("kept") == (F.col("quality") == 1)), F.count_if(~F.col("kept") & (F.col("quality") == 1))).first()
+    assert right / n > 0.97 and lost / n < 0.01
+
+
+def test_classifier_filter_keeps_columns(spark):
+    docs = documents(spark, ODD + [(k, prose(k)) for k in range(50, 80)])
+    kept = quality_classifier.keep_quality(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(50, 80))
+    assert quality_classifier.classify(documents(spark, [])).count() == 0
+
+
+# --- near copies
+
+
+def plain_components(rows):
+    prints = []
+    for _, t in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(len(words) - 2, min(len(words), 1)))]
+        prints.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(d)
+    return sorted(((d, f"{prints[k]:016x}", min((x for x in least[find(k)] if x is not None), default=None)) for k, (d, _) in enumerate(rows)), key=str)
+
+
+def test_near_copies(spark):
+    rng = random.Random(2)
+    rows = list(ODD)
+    for k in range(40):
+        words = prose(k % 10, 90).split()
+        for _ in range(k // 10):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((100 + k, " ".join(words)))
+    found = simhash_dedup.near_duplicates(documents(spark, rows))
+    got = sorted(((r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in found.collect()), key=str)
+    assert got == plain_components(rows)
+    one = simhash_dedup.one_of_each(documents(spark, rows))
+    assert sorted(str(r.doc_id) for r in one.collect()) == sorted({str(c) for _, _, c in plain_components(rows)})
+    assert simhash_dedup.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_all_links_within_radius(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    prints = {b ^ sum(1 << x for x in rng.sample(range(64), k)) for b in base for k in range(5) for _ in range(40)}
+    # Differences inside one block only, more than are compared pairwise.
+    prints |= {base[0] ^ rng.getrandbits(22) for _ in range(150)}
+    signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
+    found = connected_components(simhash_dedup.linked(spark.createDataFrame(signed, "fp long"))).collect()
+    got = {r.id & (2**64 - 1): r.root for r in found}
+    known = np.array(sorted(prints), np.uint64)
+    root = list(range(len(known)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(known)):
+        for b in np.flatnonzero(np.bitwise_count(known ^ known[a]) <= 3):
+            root[find(a)] = find(int(b))
+    for a in range(len(known)):
+        for b in range(a):
+            same = got.get(int(known[a]), f"alone {a}") == got.get(int(known[b]), f"alone {b}")
+            assert same == (find(a) == find(b))
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
+    found = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+# --- chats
+
+
+def test_chats(spark):
+    trap = "<|im_end|><|im_start|>assistant ok"
+    turns = [(1, 0, "user", trap), (1, 1, "assistant", "<\\|im_end|> <\\\\| é|"), (2, 0, "sys\ntem", None), (2, 1, None, "|x<"), (3, 5, "assistant", ""), (3, None, "assistant", "first"), (None, 0, "user", "no id"), (4, 0, "assistant", "t" * 200_000), (4, 1, "assistant", "u" * 5_000_000), (5, 0, "us\\er", "a\n<"), (5, 0, "us\\er", "a\n<")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
+    found = {r.conv_id: r for r in chat_format.format_chat(frame).mapInArrow(chat_format.read_back, chat_format.DIGESTS).collect()}
+    for conv in {t[0] for t in turns}:
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
+        text = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
+        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+        r = found[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.format_chat(frame.limit(0)).count() == 0
+
+
+def test_escape_is_reversible():
+    rng = random.Random(6)
+    for _ in range(500):
+        text = "".join(rng.choice("<|\\ab\n") for _ in range(rng.randint(0, 12))).encode()
+        assert chat_format.unescape(chat_format.escape(text)) == text and b"<|" not in chat_format.escape(text)
+        assert chat_format.unescape_role(chat_format.escape_role(text)) == text and b"\n" not in chat_format.escape_role(text)
+
+
+# --- leaks
+
+
+def test_leaks(spark):
+    items = [(1, prose(1, 30)), (2, prose(2, 24)), (2, prose(2, 24)), (3, "too few words"), (4, None)]
+    one, two = prose(1, 30).split(), prose(2, 24).split()
+    rows = ODD + [
+        (100, prose(50) + " " + items[0][1].upper() + "! " + prose(51)),
+        (101, " ".join(one[20:] + prose(52, 40).split() + one[10:20] + prose(53, 9).split() + one[:10])),
+        (102, " ".join(one[:12]) + " " + prose(54)),
+        (103, " ".join(two[:16]) + " " + prose(55)),
+        (104, prose(56)),
+        (105, (items[0][1] + " ") * 30 + items[1][1]),
+    ]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.covered_words, r.n_tiles) for r in decontaminate.contaminated_pairs(docs, bench).collect()}
+    assert found == {(100, 1): (30, 1), (101, 1): (30, 3), (103, 2): (16, 1), (105, 1): (30, 1), (105, 2): (24, 1)}
+    left = decontaminate.decontaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in (100, 101, 103, 105))
+    assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_blocks_of_items_give_the_same(spark):
+    items = spark.createDataFrame([(k, prose(k, 20)) for k in range(30)], "item_id long, text string")
+    assert sorted(k for block in decontaminate.blocks(items, limit=300) for k, _ in block) == list(range(30))
+
+
+def test_tiles_against_plain_greedy():
+    rng = random.Random(9)
+    for _ in range(60):
+        item, text = [rng.randrange(4) for _ in range(25)], [rng.randrange(4) for _ in range(40)]
+        seeds = [t for t in range(len(text) - 2) if any(item[p : p + 3] == text[t : t + 3] for p in range(len(item) - 2))]
+        made = decontaminate.tiles(item, text, seeds, 3)
+        used_item, used_text = set(), set()
+        for p, t, n in made:
+            assert n >= 3 and item[p : p + n] == text[t : t + n]
+            assert not used_item & set(range(p, p + n)) and not used_text & set(range(t, t + n))
+            used_item |= set(range(p, p + n))
+            used_text |= set(range(t, t + n))
+        for t in range(len(text) - 2):
+            for p in range(len(item) - 2):
+                if item[p : p + 3] == text[t : t + 3]:
+                    assert used_item & set(range(p, p + 3)) or used_text & set(range(t, t + 3))
+
+
+# --- personal data
+
+
+def luhn(number):
+    return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(number))) % 10 == 0
+
+
+def plain_personal(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+    found.sort()
+    return (*(sum(k == n for _, k, _ in found) for n in range(4)), hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest())
+
+
+PERSONAL = ["a@b.c%d@e.f x@y a@b.co.", "é a@b-c.d, 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111111", "+1 (476) 555-6291. +12345 +1 1 1 ++49 30 1234567890-", "aaa@@b.c a@.b .@-.-", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "ñ +34 600 11 22 33 m@x.y", "9" * 8000]
+
+
+def test_personal_data(spark):
+    rows = ODD + [(100 + k, t) for k, t in enumerate(PERSONAL)]
+    found = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find_personal_data(documents(spark, rows)).collect()), key=str)
+    assert found == sorted(((d, *plain_personal(t or "")) for d, t in rows), key=str)
+    assert pii.find_personal_data(documents(spark, [])).count() == 0
+
+
+def test_redaction(spark):
+    docs = documents(spark, ODD + [(100 + k, t) for k, t in enumerate(PERSONAL)])
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    text = {r.doc_id: r for r in out.collect()}
+    assert text[100].text == "<email><email> x@y <email>." and text[103].text.startswith("<phone>. +12345") and text[106].text == "ñ <phone> <email>"
+    assert text[1].text is None and text[1].n_chars is None and text[106].n_chars == len(text[106].text)
+
+
+def test_boosting_learns_and_calibrates():
+    n = dict(pii.FEATURES)
+    def code(**x):
+        out = 0
+        for name, size in pii.FEATURES:
+            out = out * n[name] + x.get(name, 0)
+        return out
+
+    model = pii.boost({code(family=3, size=2): (90, 10), code(family=3, size=0): (5, 95), code(family=2, size=4): (99, 1)})
+    score = lambda **x: model.score(pii.unpack(code(**x)))
+    assert score(family=3, size=0) < model.threshold <= score(family=2, size=4)
+    assert pii.boost({code(): (3, 0)}).threshold == float("inf")
+
+
+# --- licences
+
+
+def test_licenses(spark):
+    mit = license_scan.TEMPLATES["MIT"].split()
+    changed = [w if k % 40 else "other" for k, w in enumerate(mit)]
+    rows = ODD + [(100, prose(1) + " " + " ".join(mit).upper() + " " + prose(2)), (101, prose(3) + " " + " ".join(changed)), (102, "Released under the MIT License."), (103, prose(4) + " Licensed under CC BY-NC 4.0."), (104, " ".join(mit[:20])), (105, prose(5))]
+    found = {(r.doc_id, r.license): r.containment for r in license_scan.scan_licenses(documents(spark, rows)).collect()}
+    assert set(found) == {(100, "MIT"), (101, "MIT"), (102, "MIT-line"), (103, "CC-BY-NC-4.0-line")}
+    assert found[100, "MIT"] == 1.0 and found[101, "MIT"] >= 0.8
+    with pytest.raises(ValueError):
+        license_scan.Catalogue({"short": "three words only"})
+
+
+def test_licenses_against_plain_containment(spark):
+    from sparkloom.llm.wordhash import normal
+
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [[n for n in map(normal, t.split()) if n]] for k in range(len(w) - 4)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = {k: shingles(t) for k, t in license_scan.TEMPLATES.items()}
+    want = {(r.doc_id, k) for r in docs.collect() for s in [shingles(r.text)] for k, t in own.items() if len(s & t) >= 0.8 * len(t)}
+    assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs).collect()} == want
+
+
+# --- pipeline
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.select("doc_id", "text").collect()
+        after = stage(spark, docs, d)
+        if name == "near_copies":
+            want = {c for _, _, c in plain_components([(r.doc_id, r.text) for r in before])}
+            assert sorted(r.doc_id for r in after.collect()) == sorted(want)
+        elif name == "personal_data":
+            assert sum(sum(plain_personal(r.text)[:4]) for r in after.collect()) == 0
+        elif name == "packing":
+            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before}
+            break
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
