@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where unset) and read it again."""
-    spark = df.sparkSession
+def base_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir; a temporary one where unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/sparkloom/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it again."""
+    path = f"{base_dir(df.sparkSession)}/sparkloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

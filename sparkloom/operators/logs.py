@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sparkloom.functions.text import trim, truncate_utf8
 
-BY_LINE = Window.partitionBy("doc").orderBy("line_no")
 TIMESTAMP = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}[.,]?[0-9]*\s*|\[[0-9]{2}:[0-9]{2}:[0-9]{2}\]\s*)"
 
 # Words that tell what a line reports, tried in this order.
@@ -24,6 +24,10 @@ TESTS_DONE = ("tests passed", "successfully deployed", "deploy complete")
 ERRORS = ("error", "failed", "panic", "fatal", "exception")
 
 
+def by_line() -> WindowSpec:
+    return Window.partitionBy("doc").orderBy("line_no")
+
+
 def any_of(line: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -50,7 +54,7 @@ def is_warning(line: Column) -> Column:
 def distill(lines: DataFrame, context: int = 2) -> DataFrame:
     """Errors, else warnings, among lines that are not noise, each with up to `context` lines around it (timestamps cut, blanks left out)."""
     cleaned = F.regexp_replace("line", TIMESTAMP, "")
-    near = lambda a, b: F.collect_list("line").over(BY_LINE.rowsBetween(a, b))
+    near = lambda a, b: F.collect_list("line").over(by_line().rowsBetween(a, b))
     around = lines.withColumn("near", F.concat(near(-context, -1), near(1, context))) if context else lines.withColumn("near", F.array().cast("array<string>"))
     kind = F.when(is_noise(F.col("line")), None).when(is_error(F.col("line")), "error").when(is_warning(F.col("line")), "warning")
     shown = F.filter(F.transform("near", lambda x: F.regexp_replace(x, TIMESTAMP, "")), lambda x: trim(x) != "")
@@ -74,8 +78,8 @@ def classify(line: Column) -> Column:
 def stalls(lines: DataFrame, threshold: int = 5) -> DataFrame:
     """The first line of each log at which an equal line (blank ones aside) has come `threshold` times in a row."""
     kept = lines.withColumn("line", trim(F.col("line"))).where("line <> ''")
-    changed = kept.withColumn("new", F.coalesce(F.col("line") != F.lag("line").over(BY_LINE), F.lit(True)).cast("int"))
-    runs = changed.withColumn("run", F.sum("new").over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = kept.withColumn("new", F.coalesce(F.col("line") != F.lag("line").over(by_line()), F.lit(True)).cast("int"))
+    runs = changed.withColumn("run", F.sum("new").over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     counted = runs.withColumn("n", F.row_number().over(Window.partitionBy("doc", "run").orderBy("line_no")))
     return counted.where(F.col("n") >= threshold).groupBy("doc").agg(F.min(F.struct("line_no", "line")).alias("first")).select("doc", "first.line_no", "first.line")
 
