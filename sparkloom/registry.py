@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage", "logs", "scan", "graph", "web", "texts", "sources", "streams", "code")
+FAMILIES = ("usage", "logs", "scan", "graph", "web", "texts", "sources", "streams", "code", "documents")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in FAMILIES:
