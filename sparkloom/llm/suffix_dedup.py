@@ -376,7 +376,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     shared = materialise(found.repartition("h").sortWithinPartitions("h").mapInArrow(shared_batches, NOTES))
     th = F.shiftright("place", 32).cast("int").alias("th")
     asked = shared.where("span = -1").select("id", th, F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("places"))
-    contexts = named.join(asked.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "places").mapInArrow(context_batches, CONTEXTS)
+    # Both joins take the same columns of the texts, so that one exchange serves them.
+    contexts = named.join(asked.hint("shuffle_hash"), ["id", "th"]).mapInArrow(context_batches, CONTEXTS)
     settled = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(settled_batches, "id long, th int, span long")
     gone = settled.unionByName(shared.where("span <> -1").select("id", th, "span")).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
     rows = named.join(gone.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "spans")
