@@ -55,13 +55,19 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size(words).cast("long").alias("n_words"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.when(F.col("n_symbols") == 0, 0).otherwise(F.size(F.filter(words, lambda x: x.rlike("[#*$%&|<>]")))).cast("long").alias("n_symbol_words"),
-        # Equal windows become neighbours; the hash only makes comparing quick, the words decide.
-        F.when(F.size(words) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("s"), i.alias("i"))))).alias("windows"),
+        "words",
+        # Equal windows become neighbours by their hashes; the words decide.
+        F.when(F.size(words) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))).alias("windows"),
     )
     windows = F.col("windows")
-    same = lambda x, j: (F.get(windows, j)["h"] == x["h"]) & (F.get(windows, j)["s"] == x["s"])
+    word = lambda x, k: F.get(words, x["i"] + k)
+
+    def same(x: Column, j: Column) -> Column:
+        y = F.get(windows, j)
+        return (y["h"] == x["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+
     again = F.filter(windows, lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | F.coalesce(same(x, j - 1), F.lit(False)))
-    rows = rows.select(*[c for c in rows.columns if c != "windows"], F.sort_array(F.transform(again, lambda x: x["i"])).alias("starts"))
+    rows = rows.select(*[c for c in rows.columns if c not in ("words", "windows")], F.sort_array(F.transform(again, lambda x: x["i"])).alias("starts"))
     covered = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"].cast("long"))
     return rows.select(*[c for c in rows.columns if c != "starts"], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
