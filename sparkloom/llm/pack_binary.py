@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,9 +30,13 @@ from sparkloom.llm.common import kept_in_process, slices, table, texts
 
 LONGEST = 2048
 END_ID = 1
+#: Bytes of text that are cut at once.
+SLICE = 2 << 20
 #: Pieces that a worker process remembers, over its tasks; beyond that it forgets all and begins anew.
 REMEMBERED = 1_000_000
+BLANK, LETTER, OTHER, FOREIGN = range(4)
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-;=?-{}~ \t-\r]*")
+LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t-\r]+")
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -43,34 +48,95 @@ def decompose(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + bits
 
 
+def byte_kinds() -> np.ndarray:
+    """Kind of each byte in a plain text: blank, letter (with the lead byte of Latin letters), other; or not plain."""
+    kinds = np.full(256, FOREIGN, np.uint8)
+    kinds[np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)] = BLANK
+    kinds[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ\xc3", np.uint8)] = LETTER
+    kinds[np.frombuffer(b"!\"#$%&()*+,-./0123456789:;=?@[\\]^_`{}~", np.uint8)] = OTHER
+    return kinds
+
+
 class PieceIds(dict):
     """Piece to packed little-endian ids.
 
     A text of Latin letters, digits, white space and plain punctuation is cut into runs of letters, lower-cased, and
-    runs of the rest: the tokenizer lower-cases, and ends its own pieces there. In other texts, words with an apostrophe
-    or angle bracket (contractions, control strings) or with other characters stay whole.
+    runs of the rest: the tokenizer lower-cases, and ends its own pieces there. All such texts of a batch are cut at once
+    by kinds of bytes, and equal pieces are looked up once. In other texts, words with an apostrophe or angle bracket
+    (contractions, control strings) or with other characters stay whole.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-
-    def cut(self, text: bytes) -> list[str]:
-        whole = text.decode()
-        if PLAIN.fullmatch(whole):
-            return PIECE.findall(whole.lower())
+        self.model = self.tokenizer.model
+        by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_form = str.maketrans({c: by_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        self.kinds = byte_kinds()
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begins = np.concatenate([[0], ends[:-1]])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        lower, kind = self.lower[data], self.kinds[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        value = data[second]
+        letter = second[(value >= 0x80) & (value <= 0xBF) & (value != 0x97) & (value != 0xB7)]
+        kind[letter] = LETTER
+        lower[second[(value >= 0x80) & (value <= 0x9E)]] |= 0x20
+        foreign = np.concatenate([[0], np.cumsum(kind == FOREIGN)])
+        odd = np.flatnonzero(foreign[ends] > foreign[begins]).tolist()
+        for k in odd:
+            kind[begins[k] : ends[k]] = BLANK
+        before = np.concatenate([[BLANK], kind[:-1]]).astype(np.uint8)
+        before[begins[begins < len(data)]] = BLANK
+        start = np.flatnonzero((kind != BLANK) & (kind != before))
+        keep = kind != BLANK
+        at = np.cumsum(keep, dtype=np.int32)
+        offsets = np.append(at[start] - 1, at[-1:]).astype(np.int32) if len(start) else np.zeros(1, np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(lower[keep])]).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        rest = {k: self.words(texts[k]) for k in odd}
+        self.learn(set(known).union(*rest.values()))
+        packed = [self[p] for p in known]
+        n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        index = pieces.indices.to_numpy()
+        count = n[index]
+        stop = np.concatenate([[0], np.cumsum(count)])
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        flat = ids[np.arange(stop[-1]) + np.repeat((np.cumsum(n) - n)[index] - stop[:-1], count)].tobytes()
+        to = 4 * stop[np.searchsorted(start, ends)]
+        out = [flat[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist())]
+        for k, own in rest.items():
+            out[k] = b"".join([self[p] for p in own])
+        return out
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Pieces of a text that is not plain throughout."""
         pieces = []
         for word in text.split():
             word = word.decode()
             pieces += PIECE.findall(word.lower()) if PLAIN.fullmatch(word) else [word]
-        return pieces
+        return [p.encode() for p in pieces]
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        self.encode(list(pieces - self.keys()))
+        others = []
+        for key in pieces - self.keys():
+            piece = key.decode()
+            if LETTERS.fullmatch(piece):
+                # What the steps before the model make of such a piece is its byte form.
+                self[key] = array("I", [t.id for t in self.model.tokenize(piece.translate(self.byte_form))]).tobytes()
+            else:
+                others.append(piece)
+        self.encode(others)
 
     def encode(self, pieces: list[str]) -> None:
         """Encode many pieces in one call, joined by spaces; a token belongs to the piece that it starts in."""
@@ -82,7 +148,7 @@ class PieceIds(dict):
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
             cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             for piece, a, b in zip(part, cuts, cuts[1:]):
-                self[piece] = packed[a:b]
+                self[piece.encode()] = packed[a:b]
 
 
 def packer(tokenizer_json: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -95,12 +161,10 @@ def packer(tokenizer_json: str, with_ids: bool) -> Callable[[Iterator[pa.RecordB
         counts = [0] * LONGEST.bit_length()
         end = END_ID.to_bytes(4, "little")
         schema = pa.schema(FIELDS + [("ids", pa.binary())] * with_ids)
-        for batch in slices(batches, "text"):
-            cut = [known.cut(t) for t in texts(batch, "text")]
-            known.learn(set().union(*cut))
+        for batch in slices(batches, "text", SLICE):
             columns: list[list] = [[] for _ in schema]
-            for doc_id, row in zip(batch.column(0).to_pylist(), cut):
-                ids = b"".join(map(known.__getitem__, row)) + end
+            for doc_id, row in zip(batch.column(0).to_pylist(), known.ids_of(texts(batch, "text"))):
+                ids = row + end
                 n, start = len(ids) // 4, 0
                 for length in decompose(n):
                     bucket = length.bit_length() - 1
