@@ -121,13 +121,14 @@ def ranks(text: np.ndarray) -> np.ndarray:
     return rank
 
 
-def repeats(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether each suffix has a longest previous factor of LENGTH or more.
+def repeats(rank: np.ndarray, at: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Whether each of the suffixes `at` has a longest previous factor of LENGTH or more.
 
     In suffix order with ties by position, the LCP of neighbours reaches LENGTH inside a run of equal ranks only. There
     positions rise: a suffix's previous smaller position is its neighbour before it, its next smaller one lies beyond
     the run, where the LCP is less. So LPF >= LENGTH holds for all of a run but those at its first position.
     """
+    rank = rank[at]
     order = np.lexsort((position, rank))
     r, p = rank[order], position[order]
     head = np.ones(len(r), bool)
@@ -138,59 +139,57 @@ def repeats(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(group: np.ndarray, position: np.ndarray, windows: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray | None]]:
+def settle(group: np.ndarray, position: np.ndarray, windows: np.ndarray, contexts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Repeats among anchor occurrences.
 
     `group` holds equal values for equal anchors, `position` orders first windows (windows follow by ones), `windows`
-    counts them. Returns which occurrences are repeats as a whole, and for others the repeated windows, if any.
+    counts them. Returns runs of repeated windows, as occurrence, first and last window, and which occurrences are
+    repeats throughout. Equal contexts are settled as one: all but those at the first position are repeats as a whole.
+    The others are put in suffix arrays with the distinct contexts of their anchor. Rows of one and the same place are
+    represented by one of them.
     """
-    whole = np.zeros(len(contexts), bool)
-    parts: list[np.ndarray | None] = [None] * len(contexts)
-    first: dict[tuple, int] = {}
-    order = np.argsort(position, kind="stable")
-    distinct: dict[int, list[int]] = {}
-    for k in order.tolist():
-        g = int(group[k])
-        seen = first.setdefault((g, int(windows[k]), contexts[k]), k)
-        if seen == k:
-            distinct.setdefault(g, []).append(k)
-        else:
-            whole[k] = position[k] > position[seen]
-    batch: list[int] = []
-    size = 0
-
-    def run() -> None:
-        text = np.frombuffer(b"".join(contexts[k] for k in batch), np.uint8)
-        lengths = np.fromiter((len(contexts[k]) for k in batch), np.int64, len(batch))
+    if not len(position):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, bool)
+    coded = contexts.dictionary_encode()
+    kind = coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((position, kind))
+    head = np.ones(len(order), bool)
+    head[1:] = kind[order][1:] != kind[order][:-1]
+    lead = order[head]
+    done = position > position[lead[kind]]
+    of, first, last = [np.flatnonzero(done)], [np.zeros(int(done.sum()), np.int64)], [windows[done] - 1]
+    _, of_group, distinct = np.unique(group[lead], return_inverse=True, return_counts=True)
+    several = lead[distinct[of_group] > 1]
+    several = several[np.argsort(group[several], kind="stable")]
+    size = np.cumsum(windows[several] + (LENGTH - 1))
+    ends = np.flatnonzero(np.diff(group[several], append=-1)) + 1 if len(several) else []
+    at = 0
+    for end in ends:
+        if end < len(several) and size[end - 1] - (size[at - 1] if at else 0) < ARRAY:
+            continue
+        batch = several[at:end]
+        at = end
         n = windows[batch]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(np.cumsum(lengths) - lengths, n) + inside
-        again = repeats(ranks(text)[at], np.repeat(position[batch], n) + inside)
-        for k, found in zip(batch, np.split(again, np.cumsum(n)[:-1])):
-            if found.any():
-                parts[k] = found
-
-    for members in distinct.values():
-        if len(members) > 1:
-            batch += members
-            size += sum(len(contexts[k]) for k in members)
-            if size > ARRAY:
-                run()
-                batch, size = [], 0
-    if batch:
-        run()
-    # An occurrence equal to one whose windows are partly repeats has itself been settled as a whole, or is that one.
-    for k in range(len(contexts)):
-        seen = first[int(group[k]), int(windows[k]), contexts[k]]
-        if seen != k and not whole[k]:
-            parts[k] = parts[seen]
-    return whole, parts
-
-
-def spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of true values."""
-    edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        begin = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        again = repeats(ranks(bytes_of(coded.dictionary.take(pa.array(kind[batch])))), np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inside, np.repeat(position[batch], n) + inside)
+        starts = again.copy()
+        starts[1:] &= ~again[:-1] | (inside[1:] == 0)
+        stops = again.copy()
+        stops[:-1] &= ~again[1:] | (inside[1:] == 0)
+        row = np.repeat(np.arange(len(batch)), n)
+        of.append(batch[row[starts]])
+        first.append(inside[starts])
+        last.append(inside[stops])
+        done[batch[np.add.reduceat(again, begin) == n]] = True
+    return np.concatenate(of), np.concatenate(first), np.concatenate(last), done
+
+
+def bytes_of(values: pa.Array) -> np.ndarray:
+    """The joined bytes of a binary array."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -241,25 +240,17 @@ def local_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = np.flatnonzero(n[group] > 1)
         position = (order_of(ids, hashes)[doc] << 32) + low - begin
         view = text.tobytes()
-        whole, parts = settle(group[again], position[again], (high - low + 1)[again], [view[a : b + LENGTH] for a, b in zip(low[again].tolist(), high[again].tolist())])
+        of, first, last, done = settle(group[again], position[again], (high - low + 1)[again], pa.array([view[a : b + LENGTH] for a, b in zip(low[again].tolist(), high[again].tolist())], pa.binary()))
         open_ = np.ones(len(place), bool)
-        open_[again[whole]] = False
-        of, first, last = [], [], []
-        for k, full, part in zip(again.tolist(), whole.tolist(), parts):
-            if full or part is not None:
-                a, b = ([0], [int(high[k] - low[k])]) if full else spans(part)
-                of += [k] * len(a)
-                first.extend(a)
-                last.extend(b)
-                open_[k] = not full and not part.all()
+        open_[again[done]] = False
         # Equal rows of one document need not be sent twice.
         _, once = np.unique(position, return_index=True)
         sent = np.zeros(len(place), bool)
         sent[once] = True
         send = np.flatnonzero(open_ & sent)
         yield notes(h[send], ids[doc[send]], pack(hashes[doc[send]], (place - begin)[send]), np.full(len(send), -1))
-        if of:
-            of = np.array(of)
+        if len(of):
+            of = again[of]
             start = (low - begin)[of]
             yield notes(ids[doc[of]] * 31 + start, ids[doc[of]], pack(hashes[doc[of]], start), (start + first) << 32 | (start + last))
 
@@ -325,16 +316,9 @@ def settled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for rows in whole_groups(batches, 8 << 20):
         h, ids, th, low, windows = (rows.column(k).to_numpy() for k in ("h", "id", "th", "low", "windows"))
         group = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
-        whole, parts = settle(group, (order_of(ids, th) << 32) + low, windows.astype(np.int64), rows.column("context").to_pylist())
-        of, first, last = [], [], []
-        for k, (full, part) in enumerate(zip(whole.tolist(), parts)):
-            if full or part is not None:
-                a, b = ([0], [int(windows[k]) - 1]) if full else spans(part)
-                of += [k] * len(a)
-                first.extend(a)
-                last.extend(b)
-        of = np.array(of, np.int64)
-        span = (low[of] + np.array(first, np.int64)) << 32 | (low[of] + np.array(last, np.int64))
+        context = rows.column("context").combine_chunks()
+        of, first, last, _ = settle(group, (order_of(ids, th) << 32) + low, windows.astype(np.int64), context if isinstance(context, pa.Array) else context.chunk(0))
+        span = (low[of] + first) << 32 | (low[of] + last)
         yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(th[of], pa.int32()), pa.array(span)], names=["id", "th", "span"])
 
 
