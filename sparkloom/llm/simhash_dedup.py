@@ -87,6 +87,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fingerprint_batches, "doc_id long, fp long")
 
 
+def grouped_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, doc_ids): the ids of equal fingerprints of a slice together, so that a fingerprint however frequent is a row a slice."""
+    for batch in slices(batches, "text"):
+        prints, of, counts = np.unique(prints_of(texts(batch, "text")), return_inverse=True, return_counts=True)
+        ids = batch.column(0).take(pa.array(np.argsort(of, kind="stable")))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["fp", "doc_ids"])
+
+
 def rests(prints: np.ndarray, block: int) -> np.ndarray:
     """The bits outside a block, moved together."""
     first, bits = BLOCKS[block]
@@ -199,14 +208,16 @@ def linked(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row of (doc_id, text)."""
-    rows = materialise(fingerprints(docs))
-    distinct = materialise(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node")))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialise(named.mapInArrow(grouped_batches, "fp long, doc_ids array<long>"))
+    distinct = materialise(rows.groupBy("fp").agg(F.coalesce(F.min(F.array_min("doc_ids")), F.lit(NO_ID)).alias("node")))
     roots = connected_components(linked(distinct)).withColumnsRenamed({"id": "fp"})
-    named = distinct.join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("node").alias("component"))
-    joined = named.join(least, "root").select("fp", "component")
-    all_prints = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(all_prints, "fp").select("doc_id", "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+    linked_prints = distinct.join(roots, "fp")
+    least = linked_prints.groupBy("root").agg(F.min("node").alias("component"))
+    of = linked_prints.join(least, "root").select("fp", "component")
+    all_prints = distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    joined = rows.join(all_prints, "fp").select("fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.explode("doc_ids").alias("doc_id"))
+    return joined.select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
