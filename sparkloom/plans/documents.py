@@ -28,6 +28,13 @@ def rows(spark: SparkSession, sf: str, text: str) -> DataFrame:
     return texts(spark, sf, text)
 
 
+def edge_chunks(items: DataFrame) -> DataFrame:
+    """Edges of line items by chunk; every end that occurs is placed."""
+    edges = items.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return D.edge_chunks(edges, ids.select("id", (F.col("id") % 7).alias("chunk")))
+
+
 QUERIES = {
     "k8_metadata": lambda s, d: D.metadata(markdown(s, d)),
     "k8_sections": lambda s, d: D.sections(markdown(s, d)),
@@ -38,7 +45,7 @@ QUERIES = {
     "u8_authors": lambda s, d: rows(s, d, NAME).select("doc", D.author(F.col("text")).alias("name")),
     "k7_paper_facts": lambda s, d: rows(s, d, FACTS).select("doc", *(v.alias(k) for k, v in D.paper_facts(F.col("text")).items())),
     "k9_chunks": lambda s, d: D.chunks(s.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 9).alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice")).alias("bytes"))).groupBy("batch", "chunk").agg(F.count("*").alias("n")),
-    "k9_edge_chunks": lambda s, d: D.edge_chunks(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct(), s.range(100).select("id", (F.col("id") % 7).alias("chunk"))),
+    "k9_edge_chunks": lambda s, d: edge_chunks(s.read.parquet(f"{d}/lineitem.parquet")),
     "k21_remapped": lambda s, d: D.remapped(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 100000).alias("new")).where("old % 2 = 0")),
     "a27_routes": lambda s, d: rows(s, d, COMMAND).select("doc", R.route(F.col("text")).alias("filter")),
     "c13_languages": lambda s, d: R.languages(s.read.parquet(f"{d}/part.parquet").selectExpr("p_size AS project", f"{FILES} AS name")),
