@@ -1,4 +1,4 @@
-"""Removal of repeated passages with longest-previous-factor arrays over anchored suffixes.
+"""Removal of repeated passages with longest previous factor of LENGTH bytes or more, over anchored suffixes.
 
 A byte goes if a LENGTH-byte string that covers it also starts earlier (smaller document, or same document and earlier
 start). A suffix array of the whole corpus does not fit one machine, and most suffixes repeat nowhere, so suffixes are
@@ -10,9 +10,9 @@ anchors; windows of one anchor occurrence are neighbours and share a context of
    slice, and sends one row for each anchor that still has an unsettled window: however frequent a passage is, a slice
    sends it once.
 2. Anchor rows are shuffled by hash; those that occur in several places ask their documents for contexts.
-3. Contexts are shuffled by hash. In a group, suffixes of the distinct contexts are put in suffix order by doubling
-   ranks; with ties in text order, LPF follows from previous and next smaller positions, and windows with a previous
-   factor of LENGTH or more are repeats. Equal contexts are settled as one.
+3. Contexts are shuffled by hash. In a group, the LENGTH-byte strings of the distinct contexts are ranked by doubling.
+   No LPF array is built: whether LPF reaches LENGTH follows from runs of equal ranks, all of which but those at the
+   first position are repeats. Equal contexts are settled as one.
 4. Removed windows return to their documents, whose bytes are cut.
 
 Hashes only bring windows together; bytes decide. Texts are shuffled once: both joins use the same exchange.
