@@ -1,25 +1,29 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-Generators propose spans, with high recall and overlaps: strict e-mail, internet address, card and phone patterns (those that
-pass their checks are the base and always stay), and loose ones (spelled-out e-mail, phones without country code, national numbers, account numbers). Each proposal gets format and context features in few
-classes: family, digits, separators, what stands left and right, and a telling word before it.
-
-Proposals of the strict generators teach the trees: those that pass the check are positive, those that fail negative,
-and what the check itself looks at is no feature. Feature classes of all documents are counted; the counted classes, at
-most the product of the features' sizes, are all that reaches the driver, where boosted trees of depth two are fitted.
-Trees are applied as native expressions, and a loose proposal is selected at a threshold calibrated on the counts so
-that at least PRECISION of what lies above is positive. Strict proposals that fail their check are never selected.
-
-Spans: the regular expressions are run once for the matches and once to split, and match places follow from the
-lengths; starts are guarded so that a long run of one class of characters is read once.
+Generators propose spans, with high recall and overlaps: strict e-mail, internet address, card and phone patterns (those
+that pass their checks are the base and always stay; those that fail are never selected), and loose ones (spelled-out
+e-mail, phones without country code, national numbers, account numbers), which boosted trees judge. A proposal is put in
+few classes by its format (kind, digits, separators, whether its check number holds) and its context (characters beside
+it, telling words before it).
+
+The trees learn from a labelled set of EXAMPLES lines for each loose kind, made by rule (pii_examples): right ones in the
+contexts such data stand in, and look-alikes in others. One half fits the trees; on the other half each kind gets the
+least threshold above which at least PRECISION of the examples are right. The set is the same at every size of input, so
+a text gets the same verdict whatever stands beside it, and nothing of the corpus reaches the driver.
+
+Places of matches: a pattern is run once for the matches and once to split, and places are running sums of lengths, kept
+by blocks (functions `running`), so that many matches in one text cost little more than their number. The context of a
+match reaches back to the match before it at most. Starts are guarded so that a long run of one class of characters is
+read once.
 
 Defined cases: null text counts as empty and has no spans; null and repeated ids are judged row by row; an empty table
-gives no rows and without positive or negative examples nothing is selected beyond the base; the redaction keeps all
-columns.
+gives no rows; texts of any length are read whole; spans of different kinds may overlap, and the redaction takes their
+union and names it by the span that starts first (ties by kind); it keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,7 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh, materialise, table
+from sparkloom.llm.common import fresh, table
+from sparkloom.llm.pii_examples import examples
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("email_text", "phone_local", "national", "account")
@@ -39,17 +44,47 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 EMAIL_TEXT = r"(?i)\b[a-z0-9._%+-]{2,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{2,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z]{2,24}){1,3}\b"
-PHONE_LOCAL = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
+PHONE_LOCAL = r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[\x20.-])(?<!\+[0-9]{1,3}\x20\()\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9-]|\.[0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CUE = r"(?i)(mail|contact|phone|tel|call|fax|mobile|address|host|card|visa|pay|account|iban|bank|ssn|security)[^\n]{0,16}\z"
+#: Telling words in the CONTEXT characters before a span, by class; the first class that matches counts.
+CUES = (
+    r"(?i)\b(?:orders?|invoice|parts?|build|version|model|item|ticket|isbn|ref|serial|sku|page|case|lot|batch|tracking|revision|release)\b[^\n]{0,12}\z",
+    r"(?i)\b(?:e-?mail|mail|contact|write|reach|phone|tel|telephone|call|fax|mobile|cell|text|dial)\b[^\n]{0,16}\z",
+    r"(?i)\b(?:ssn|social|security|national|insurance|id|identity|born|citizen)\b[^\n]{0,16}\z",
+    r"(?i)\b(?:account|iban|bank|pay|transfer|deposit|wire|credit|card|visa)\b[^\n]{0,16}\z",
+)
+CONTEXT = 32
 
-TREES, RATE, LEAST_WEIGHT = 30, 0.3, 5.0
+EXAMPLES = 240
+TREES, RATE = 30, 0.3
 PRECISION = 0.9
-#: What a loose kind is a form of.
-FAMILY = {"email": 0, "ip": 1, "card": 2, "phone": 3, "email_text": 0, "phone_local": 3, "national": 2, "account": 2}
 #: Feature, and how many classes it has.
-FEATURES = (("family", 4), ("size", 6), ("separated", 2), ("left", 5), ("right", 5), ("cue", 2))
+FEATURES = (("kind", 4), ("size", 4), ("separated", 2), ("checked", 2), ("left", 5), ("right", 5), ("cue", 5))
+#: Elements that one running value is kept for.
+BLOCK = 128
+#: Characters of text that are cut out of together.
+PIECE = 2000
+#: Rows of the labelled set.
+EXAMPLE = "array<struct<text:string,kind:int,good:boolean,held_out:boolean>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Of an array, the merged values before each element: by blocks, so that the cost is about BLOCK steps an element."""
+    fold = lambda part, start: F.aggregate(part, start, merge)
+
+    def by_values(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(values, b * BLOCK + 1, BLOCK), zero))
+        before = let(blocks, lambda sums: F.transform(sums, lambda _, b: fold(F.slice(sums, 1, b), zero)))
+        each = lambda at: F.transform(values, lambda _, i: fold(F.slice(values, i - i % BLOCK + 1, i % BLOCK), F.get(at, F.floor(i / BLOCK).cast("int"))))
+        return F.when(F.size(values) > 0, let(before, each)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, by_values)
 
 
 def digits(text: Column) -> Column:
@@ -75,77 +110,89 @@ def valid_phone(match: Column) -> Column:
     return F.length(digits(match)).between(10, 15)
 
 
+def valid_local(match: Column) -> Column:
+    """Area and exchange that do not begin with 0 or 1."""
+    return digits(match).rlike(r"\A[2-9][0-9]{2}[2-9]")
+
+
+def valid_national(match: Column) -> Column:
+    """No group of zeros, and an area that is given out."""
+    return ~match.rlike(r"\A(?:000|666|9)|-00-|-0000\z")
+
+
+def valid_account(match: Column) -> Column:
+    """Remainder 1 by 97, the first four characters last and letters as two digits."""
+    plain = F.regexp_replace(match, " ", "")
+    chars = F.filter(F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c >= "A", a * 100 + F.ascii(c) - 55).otherwise(a * 10 + c.cast("int")) % 97) == 1
+
+
 @dataclass(frozen=True)
 class Generator:
     kind: str
     pattern: str
     #: What a text must have for the pattern to match at all.
     needs: Callable[[Column], Column]
-    #: Which matches are proposals, and which of those pass the check.
-    proposed: Callable[[Column], Column]
-    passes: Callable[[Column], Column]
-
-
-def anything(_: Column) -> Column:
-    return F.lit(True)
-
-
-def nothing(_: Column) -> Column:
-    return F.lit(False)
+    #: The check: what base matches must pass, and a feature of the loose ones.
+    check: Callable[[Column], Column]
 
 
 GENERATORS = (
-    Generator("email", EMAIL, lambda t: t.contains("@"), anything, anything),
-    Generator("ip", IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), anything, valid_ip),
-    Generator("card", CARD, lambda t: t.rlike("[0-9](?:[ -]?[0-9]){12}"), lambda m: F.length(digits(m)) >= 13, valid_card),
-    Generator("phone", PHONE, lambda t: t.contains("+"), anything, valid_phone),
-    Generator("email_text", EMAIL_TEXT, lambda t: t.rlike(r"(?i)[\[(] ?at ?[\])]"), anything, nothing),
-    Generator("phone_local", PHONE_LOCAL, lambda t: t.rlike(r"[0-9][ .-][0-9]{4}"), anything, nothing),
-    Generator("national", NATIONAL, lambda t: t.rlike("-[0-9]{2}-"), anything, nothing),
-    Generator("account", ACCOUNT, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), anything, nothing),
+    Generator("email", EMAIL, lambda t: t.contains("@"), lambda m: F.lit(True)),
+    Generator("ip", IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), valid_ip),
+    Generator("card", CARD, lambda t: t.rlike("[0-9](?:[ -]?[0-9]){13}"), valid_card),
+    Generator("phone", PHONE, lambda t: t.contains("+"), valid_phone),
+    Generator("email_text", EMAIL_TEXT, lambda t: t.rlike(r"(?i)[\[(] ?at ?[\])]"), lambda m: m.rlike(r"(?i)[\])] ?(?:com|org|net|edu|gov|info|io|de|uk|fr|es|eu)\b|\. ?(?:com|org|net|edu|gov|info|io|de|uk|fr|es|eu)\b")),
+    Generator("phone_local", PHONE_LOCAL, lambda t: t.rlike(r"[0-9][ .-][0-9]{4}"), valid_local),
+    Generator("national", NATIONAL, lambda t: t.rlike("-[0-9]{2}-"), valid_national),
+    Generator("account", ACCOUNT, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), valid_account),
 )
 
 
 def neighbour(char: Column) -> Column:
-    """Class of the character beside a span: none, blank, letter, digit, other."""
+    """Class of the character beside a span: none (or the next match), blank, letter, digit, other."""
     return F.when(char == "", 0).when(char.rlike(r"\A\s"), 1).when(char.rlike(r"\A\p{L}"), 2).when(char.rlike(r"\A[0-9]"), 3).otherwise(4)
 
 
-def proposals(text: Column, g: Generator) -> Column:
-    """Array of (kind, start, end, passes, feature code) of a generator's proposals in a text."""
-    kind = KINDS.index(g.kind)
-    matches = F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0))
-    between = F.split(text, g.pattern, -1)
-    kinds = "array<struct<kind:int,start:int,end:int,passes:boolean,code:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        match = pair["match"]
-        passes = g.passes(match)
-        features = {
-            "family": F.lit(FAMILY[g.kind]),
-            "size": F.least(F.lit(5), (F.length(digits(match)) / 4).cast("int")),
-            "separated": match.rlike("[ ().-]").cast("int"),
-            "left": neighbour(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")),
-            "right": neighbour(F.substring(text, end + 1, F.lit(1))),
-            "cue": F.substring(text, F.greatest(F.lit(1), start - 23), F.least(F.lit(24), start)).rlike(CUE).cast("int"),
-        }
-        code = F.lit(0)
-        for name, n in FEATURES:
-            code = code * n + features[name]
-        found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.coalesce(passes, F.lit(False)).alias("passes"), code.cast("int").alias("code"))
-        out = F.when(g.proposed(match), F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
-        return F.when(match.isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
-
-    pairs = F.arrays_zip(between.alias("gap"), matches.alias("match"))
-    return F.when(g.needs(text), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kinds))
-
-
-def candidates(text: Column) -> Column:
-    """All proposals of all generators."""
-    return F.concat(*(proposals(text, g) for g in GENERATORS))
+def feature_code(kind: int, match: Column, before: Column, after: Column) -> Column:
+    """The classes of a loose proposal as one number; `before` and `after` is the text up to its neighbours."""
+    left = F.substring(before, -CONTEXT, CONTEXT)
+    cue = F.lit(0)
+    for k in reversed(range(len(CUES))):
+        cue = F.when(left.rlike(CUES[k]), k + 1).otherwise(cue)
+    found = {
+        "kind": F.lit(kind - len(BASE)),
+        "size": F.least(F.lit(3), F.floor(F.length(digits(match)) / 5)),
+        "separated": match.rlike("[ ().-]").cast("int"),
+        "checked": F.coalesce(GENERATORS[kind].check(match), F.lit(False)).cast("int"),
+        "left": neighbour(F.substring(before, -1, 1)),
+        "right": neighbour(F.substring(after, 1, 1)),
+        "cue": cue,
+    }
+    code = F.lit(0)
+    for name, n in FEATURES:
+        code = code * n + found[name]
+    return code.cast("int")
+
+
+def proposals(text: Column, kind: int) -> Column:
+    """Array of (start, kind, end, code) of a generator: matches that pass their check (code -1), or all loose ones."""
+    g = GENERATORS[kind]
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,code:int>>")
+
+    def placed(x: Column) -> Column:
+        matches, gaps = x["matches"], x["gaps"]
+        sizes = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        return let(running(sizes, F.lit(0), lambda a, b: a + b), lambda before: F.transform(matches, lambda m, i: let(F.get(before, i) + F.length(F.get(gaps, i)), lambda at: span(m, F.get(gaps, i), F.get(gaps, i + 1), at))))
+
+    def span(match: Column, before: Column, after: Column, at: Column) -> Column:
+        code = F.lit(-1) if kind < len(BASE) else feature_code(kind, match, before, after)
+        passes = g.check(match) if kind < len(BASE) else F.lit(True)
+        out = F.struct(at.cast("int").alias("start"), F.lit(kind).alias("kind"), (at + F.length(match)).cast("int").alias("end"), code.alias("code"))
+        return F.when(F.coalesce(passes, F.lit(False)), out)
+
+    found = let(F.struct(F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0)).alias("matches"), F.split(text, g.pattern, -1).alias("gaps")), lambda x: F.filter(placed(x), lambda s: s.isNotNull()))
+    return F.when(g.needs(text), found).otherwise(none)
 
 
 @dataclass(frozen=True)
@@ -168,21 +215,37 @@ class Tree:
 class Model:
     bias: float
     trees: tuple[Tree, ...]
-    threshold: float
+    #: Least score of each loose kind that is selected.
+    thresholds: tuple[float, ...]
 
     def score(self, x: list[int]) -> float:
         return self.bias + sum(t.value(x) for t in self.trees)
 
+    def selects(self, code: int) -> bool:
+        x = unpack(code)
+        return self.score(x) >= self.thresholds[x[0]]
+
     def column(self, code: Column) -> Column:
-        """Score of a feature code."""
-        x: list[Column] = []
-        for _, n in reversed(FEATURES):
-            x.insert(0, code % n)
-            code = F.floor(code / n)
+        """Whether a feature code is selected: the trees as native expressions."""
+        return let(F.array(*positions(code)), self.verdict)
+
+    def verdict(self, packed: Column) -> Column:
+        x = [F.get(packed, F.lit(k)) for k in range(len(FEATURES))]
         total = F.lit(self.bias)
         for t in self.trees:
             total = total + t.column(x)
-        return total
+        least = F.lit(math.inf)
+        for k, value in enumerate(self.thresholds):
+            least = F.when(x[0] == k, value).otherwise(least)
+        return total >= least
+
+
+def positions(code: Column) -> list[Column]:
+    x: list[Column] = []
+    for _, n in reversed(FEATURES):
+        x.insert(0, (code % n).cast("int"))
+        code = F.floor(code / n)
+    return x
 
 
 def unpack(code: int) -> list[int]:
@@ -215,14 +278,11 @@ def best_split(rows: list[tuple[list[int], float, float]]) -> tuple[float, int,
 
 
 def boost(counts: dict[int, tuple[float, float]]) -> Model:
-    """Boosted trees for the log-odds of passing, from (passing, failing) counts of feature codes.
-
-    The threshold is the least score above which the share of passing examples is PRECISION at least; without both
-    passing and failing examples it is infinite.
-    """
+    """Boosted trees for the log-odds of being right, from (right, wrong) counts of feature codes; thresholds are infinite."""
     good, bad = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
+    never = (math.inf,) * len(LOOSE)
     if not good or not bad:
-        return Model(0.0, (), math.inf)
+        return Model(0.0, (), never)
     data = [(unpack(code), *c) for code, c in sorted(counts.items())]
     bias = math.log(good / bad)
     scores = [bias] * len(data)
@@ -241,31 +301,42 @@ def boost(counts: dict[int, tuple[float, float]]) -> Model:
             sides.append((f, c, RATE * low, RATE * high))
         trees.append(Tree((feature, cut), (sides[0], sides[1])))
         scores = [s + trees[-1].value(x) for (x, _, _), s in zip(data, scores)]
-    threshold, passing, all_above = math.inf, 0.0, 0.0
-    for s, a, b in sorted(((s, a, b) for (_, a, b), s in zip(data, scores)), reverse=True):
-        passing, all_above = passing + a, all_above + a + b
-        if passing >= PRECISION * all_above:
-            threshold = s
-    return Model(bias, tuple(trees), threshold)
-
-
-def fit(found: DataFrame) -> Model:
-    """The model of a table with a column `candidates`."""
-    strict = found.select(F.explode("candidates").alias("c")).where(F.col("c.kind") < len(BASE))
-    counted = strict.groupBy("c.code").agg(F.count_if(F.col("c.passes")).alias("good"), F.count_if(~F.col("c.passes")).alias("bad")).collect()
-    return boost({r["code"]: (r["good"], r["bad"]) for r in counted})
-
-
-def is_base(c: Column) -> Column:
-    return (c["kind"] < len(BASE)) & c["passes"]
-
-
-def selected(found: Column, model: Model) -> Column:
-    """Base spans, and loose proposals at the threshold that no base span overlaps; by start, then kind."""
-    base = F.filter(found, is_base)
-    score = lambda c: model.column(c["code"])
-    extra = F.filter(found, lambda c: (c["kind"] >= len(BASE)) & (score(c) >= model.threshold) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))) if math.isfinite(model.threshold) else F.slice(found, 1, 0)
-    return F.sort_array(F.transform(F.concat(base, extra), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
+    return Model(bias, tuple(trees), never)
+
+
+def calibrate(model: Model, counts: dict[int, tuple[float, float]]) -> Model:
+    """For each loose kind the least score above which PRECISION of the held-out examples are right; infinite where there is none."""
+    thresholds = []
+    for kind in range(len(LOOSE)):
+        rows = sorted(((model.score(unpack(code)), a, b) for code, (a, b) in counts.items() if unpack(code)[0] == kind), reverse=True)
+        threshold, right, above = math.inf, 0.0, 0.0
+        for k, (s, a, b) in enumerate(rows):
+            right, above = right + a, above + a + b
+            last = k + 1 == len(rows) or rows[k + 1][0] < s
+            if last and right >= PRECISION * above:
+                # Half way to the next score: codes that no example had may lie between.
+                threshold = s if k + 1 == len(rows) else (s + rows[k + 1][0]) / 2
+        thresholds.append(threshold)
+    return Model(model.bias, model.trees, tuple(thresholds))
+
+
+def fit(spark: SparkSession) -> Model:
+    """The model of the labelled set: its proposals are made by the same expressions as those of documents."""
+    given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(examples(EXAMPLES))), EXAMPLE)).alias("e"))
+    coded = F.concat(*(proposals(F.col("e.text"), k) for k in range(len(BASE), len(KINDS))))
+    found = given.select("e.kind", "e.good", "e.held_out", F.explode(coded).alias("c")).where(F.col("c.kind") == F.col("kind"))
+    halves: tuple[dict, dict] = ({}, {})
+    for r in found.groupBy("held_out", F.col("c.code").alias("code")).agg(F.count_if("good").alias("right"), F.count_if(~F.col("good")).alias("wrong")).collect():
+        halves[r["held_out"]][r["code"]] = (r["right"], r["wrong"])
+    return calibrate(boost(halves[0]), halves[1])
+
+
+def spans_of(text: Column, model: Model) -> Column:
+    """Array of (start, kind, end), by start, then kind: the base and what the model selects of the loose proposals."""
+    drop = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    base = [proposals(text, k) for k in range(len(BASE))]
+    loose = [F.filter(proposals(text, k), lambda c: model.column(c["code"])) for k in range(len(BASE), len(KINDS))]
+    return F.sort_array(F.transform(F.concat(*base, *loose), drop))
 
 
 def name(kind: Column) -> Column:
@@ -279,35 +350,44 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*keep, candidates(text).alias("candidates"))
-
-
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Base counts and digest, and all spans, of each row of (doc_id, text)."""
-    found = materialise(with_candidates(docs, F.col("doc_id").cast("long").alias("doc_id")))
-    model = fit(found)
-    rows = found.select("doc_id", selected(F.col("candidates"), model).alias("spans"))
+    model = fit(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spans_of(text, model).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return rows.select("doc_id", *(count(k).alias(f"n_{word}") for k, word in enumerate(BASE)), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def cut_out(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of a text given in pieces of PIECE characters."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    joined = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(joined, (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """`text` with the union of its sorted spans replaced by names."""
+
+    def built(x: Column) -> Column:
+        pieces, reach = x["pieces"], x["reach"]
+        # A span that starts before the ones before it end only lengthens what is replaced.
+        heads = F.filter(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(reach, i).alias("from")))), lambda h: h.isNotNull())
+        rest = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        parts = F.transform(heads, lambda h: F.concat(cut_out(pieces, h["from"], h["start"]), F.lit("<"), name(h["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut_out(pieces, rest, F.length(text)))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)).alias("reach")), built)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; in texts, every span is replaced by its kind in angle brackets, and n_chars, if there, by the new length."""
-    model = fit(materialise(with_candidates(docs)))
+    model = fit(docs.sparkSession)
     text = F.col("text")
-    spans = selected(candidates(F.coalesce(text.cast("string"), F.lit(""))), model)
     held = fresh(docs.columns, "spans")
-    rows = docs.withColumn(held, spans)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), name(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(held, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    rows = rows.withColumn("text", F.when(F.size(held) > 0, clean).otherwise(text)).drop(held)
+    rows = docs.withColumn(held, spans_of(F.coalesce(text.cast("string"), F.lit("")), model))
+    rows = rows.withColumn("text", F.when(F.size(held) > 0, without_spans(text, F.col(held))).otherwise(text)).drop(held)
     return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 

@@ -9,23 +9,17 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from cases import ODD, VERY_LONG, documents, prose  # noqa: F401
+from test_pii import plain_personal
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, decontaminate, license_scan, pack_binary, pii, quality_classifier, quality_rules, secret_scan, simhash_dedup, suffix_dedup, weak_labels
+from sparkloom.llm import chat_format, decontaminate, license_scan, pack_binary, quality_classifier, quality_rules, secret_scan, simhash_dedup, suffix_dedup, weak_labels
 from sparkloom.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HEX40 = hashlib.sha1(b"x").hexdigest()
-VERY_LONG = "lorem ipsum dolor " * 4000
 
 
-def documents(spark, rows):
-    """Documents with a column too many, whose name operators use inside."""
-    schema = "doc_id long, text string, lang string, id string, fp string, spans string, n_chars long"
-    return spark.createDataFrame([(d, t, None, "x", "y", None, None) for d, t in rows], schema).repartition(3)
-
-
-ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "one two three four five six seven"), (4, "same text here"), (4, "same text here"), (5, "é" * 5000), (6, VERY_LONG)]
 
 
 # --- secrets
@@ -155,11 +149,6 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(again), failed
 
 
-def prose(seed, n=120):
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("aeiounrstl") for _ in range(rng.randint(3, 8))) + ("." if k % 12 == 11 else "") for k in range(n))
-
-
 def test_quality_rules(spark):
     rows = ODD + [(100 + k, prose(k) + "\n" + prose(k + 1, 8) + "\n" + prose(k + 1, 8)) for k in range(30)] + [(200 + k, " ".join(w + "$$$" for w in prose(k).split())) for k in range(6)] + [(300, "no no no " * 60), (301, "a\x0bb\x0cc\x1cd e\n\n \na\x0bb")]
     found = quality_rules.judge_quality(documents(spark, rows)).collect()
@@ -342,56 +331,6 @@ def test_tiles_against_plain_greedy():
                     assert used_item & set(range(p, p + 3)) or used_text & set(range(t, t + 3))
 
 
-# --- personal data
-
-
-def luhn(number):
-    return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (c > "4") for k, c in enumerate(reversed(number))) % 10 == 0
-
-
-def plain_personal(text):
-    digits = lambda s: re.sub("[^0-9]", "", s)
-    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
-    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
-    found.sort()
-    return (*(sum(k == n for _, k, _ in found) for n in range(4)), hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest())
-
-
-PERSONAL = ["a@b.c%d@e.f x@y a@b.co.", "é a@b-c.d, 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111111111111", "+1 (476) 555-6291. +12345 +1 1 1 ++49 30 1234567890-", "aaa@@b.c a@.b .@-.-", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "ñ +34 600 11 22 33 m@x.y", "9" * 8000]
-
-
-def test_personal_data(spark):
-    rows = ODD + [(100 + k, t) for k, t in enumerate(PERSONAL)]
-    found = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find_personal_data(documents(spark, rows)).collect()), key=str)
-    assert found == sorted(((d, *plain_personal(t or "")) for d, t in rows), key=str)
-    assert pii.find_personal_data(documents(spark, [])).count() == 0
-
-
-def test_redaction(spark):
-    docs = documents(spark, ODD + [(100 + k, t) for k, t in enumerate(PERSONAL)])
-    out = pii.redact(docs)
-    assert out.columns == docs.columns
-    text = {r.doc_id: r for r in out.collect()}
-    assert text[100].text == "<email><email> x@y <email>." and text[103].text.startswith("<phone>. +12345") and text[106].text == "ñ <phone> <email>"
-    assert text[1].text is None and text[1].n_chars is None and text[106].n_chars == len(text[106].text)
-
-
-def test_boosting_learns_and_calibrates():
-    n = dict(pii.FEATURES)
-    def code(**x):
-        out = 0
-        for name, size in pii.FEATURES:
-            out = out * n[name] + x.get(name, 0)
-        return out
-
-    model = pii.boost({code(family=3, size=2): (90, 10), code(family=3, size=0): (5, 95), code(family=2, size=4): (99, 1)})
-    score = lambda **x: model.score(pii.unpack(code(**x)))
-    assert score(family=3, size=0) < model.threshold <= score(family=2, size=4)
-    assert pii.boost({code(): (3, 0)}).threshold == float("inf")
-
-
 # --- licences
 
 
