@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns plus sliding-window entropy over candidate strings.
 
-A candidate is a maximal run of key characters. Its class is `hex` (only hexadecimal digits) or `base64`. A window of
-WINDOW characters slides over it; entering and leaving characters change counts and the sum of c*log2(c), so each step
-costs the same whatever the window. Windows at or above the class threshold, joined where they overlap, become spans,
-unless the allow-list knows the string (identifiers, words, paths, placeholders) or a pattern span covers them.
+A candidate is a maximal run of key characters. A window of WINDOW characters slides over it; entering and leaving
+characters change counts and the sum of c*log2(c), so each step costs the same whatever the window. Windows that reach
+the threshold of their character class, joined where they overlap, are hot pieces: `hex` (hexadecimal digits only),
+`letters` (no digit) or `base64`. The allow-list judges the hot piece itself, never what stands beside it: identifiers,
+words in any case style, paths, placeholders and numbers are suppressed, and so is what a pattern span covers.
 
 A map over rows: no shuffle, one slice of text in memory.
 
 Defined cases: null text counts as empty and has no spans; null and repeated ids are passed through row by row; an
-empty table gives no rows; columns other than doc_id and text are ignored; texts of any length are scanned whole.
+empty table gives no rows; columns other than doc_id and text are ignored; texts of any length are scanned whole, in
+time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import slices, table, texts
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_letters", "entropy_base64")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 # A run too short cannot hold a passing match, so the least lengths may stand in these two patterns.
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -33,12 +37,14 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "base64": 3.7}
+#: Bits a character from which a window of each class is hot.
+THRESHOLDS = {"hex": 3.0, "letters": 3.4, "base64": 3.7}
+CLASSES = (("hex", re.compile(rb"[0-9a-fA-F]*")), ("letters", re.compile(rb"[^0-9]*")), ("base64", re.compile(rb".*")))
+#: What a hot piece may be, as a whole.
 ALLOWED = [
     re.compile(p)
     for p in (
-        rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-        rb"[^0-9]*",  # words, joined or not
+        rb"[0-9a-fA-F]{0,8}(-[0-9a-fA-F]{4}){2,3}-[0-9a-fA-F]{0,12}",  # UUIDs
         rb"[^A-Za-z]*",  # numbers
         rb"(?i).*(example|placeholder|changeme|your[_-]?(api|key|token|secret)|x{6,}|0{8,}).*",
         rb"(?i).*(abcdefgh|0123456789|123456789|qwerty).*",
@@ -46,6 +52,12 @@ ALLOWED = [
         rb"(?i)sha(256|384|512)-.*",  # integrity hashes
     )
 ]
+#: Parts of words in any case style, as they stand in identifiers and paths; consonants that no word has in a row.
+WORD_PART = re.compile(rb"[A-Z]?[a-z]{3,}|[A-Z]{3,}|(?<![A-Za-z])[a-z]{1,2}(?![A-Za-z])|[/_=+-]+")
+HARSH = re.compile(rb"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
+VOWELS = b"aeiouyAEIOUY"
+#: Share of a piece of letters that parts of words cover, and of its letters that are vowels, if it is words.
+WORDS_COVER, VOWEL_SHARE = 0.8, 0.25
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
@@ -78,8 +90,16 @@ def hot_windows(text: bytes, threshold: float, window: int = WINDOW) -> list[tup
     return found
 
 
-def allowed(candidate: bytes) -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOWED)
+def of_words(piece: bytes) -> bool:
+    """Whether a piece without digits is made of words: long runs of one case, vowels enough, no long row of consonants."""
+    letters = len(re.findall(rb"[A-Za-z]", piece))
+    if len(HARSH.findall(piece)) or sum(c in VOWELS for c in piece) < VOWEL_SHARE * letters:
+        return False
+    return sum(len(m[0]) for m in WORD_PART.finditer(piece)) >= WORDS_COVER * len(piece)
+
+
+def allowed(piece: bytes) -> bool:
+    return any(p.fullmatch(piece) for p in ALLOWED) or (not re.search(rb"[0-9]", piece) and of_words(piece))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -94,17 +114,20 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: bytes, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of high-entropy stretches of candidates that no known span covers."""
+    """(start, end, kind) of high-entropy stretches of candidates that no known span (sorted by start) covers."""
+    starts = [s for s, _, _ in known]
+    reach = list(accumulate((e for _, e, _ in known), max))
     spans = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if allowed(run):
-            continue
-        kind = "hex" if not run.strip(b"0123456789abcdefABCDEF") else "base64"
-        for a, b in hot_windows(run, THRESHOLDS[kind]):
+        kind = next(k for k, (_, p) in enumerate(CLASSES) if p.fullmatch(run))
+        for a, b in hot_windows(run, THRESHOLDS[CLASSES[kind][0]]):
+            if allowed(run[a:b]):
+                continue
             a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for s, e, _ in known):
-                spans.append((a, b, 3 if kind == "hex" else 4))
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                spans.append((a, b, 3 + kind))
     return spans
 
 

@@ -61,8 +61,62 @@ def test_entropy_spans_and_allow_list():
     token = b"q7Zk2Lw9Xp4Vn8Rt3Ym6Bc1D"
     assert secret_scan.entropy_spans(b"use " + token + b" now", [])
     assert not secret_scan.entropy_spans(b"use " + token + b" now", [(0, 40, 0)])
-    for quiet in (b"ThisIsSomeVeryLongIdentifierName", b"12345678901234567890123456", b"123e4567-e89b-12d3-a456-426614174000", b"EXAMPLE" + token):
-        assert not secret_scan.entropy_spans(quiet, [])
+    assert secret_scan.entropy_spans(b"use " + token + b" now", [(0, 8, 0), (1, 20, 2)])
+    quiet = [b"ThisIsSomeVeryLongIdentifierName", b"12345678901234567890123456", b"123e4567-e89b-12d3-a456-426614174000", b"EXAMPLE" + token, b"path/to/some/other_folder/file_name", b"internationalization_and_localization", b"JDBC_CONNECTION_TIMEOUT_SECONDS", b"the-quick-brown-fox-jumps-over"]
+    for text in quiet:
+        assert not secret_scan.entropy_spans(text, []), text
+    # What stands beside a key, in one run of key characters with it, does not hide it.
+    for text in (b"qwerty" + b"=" * 30 + token, b"example/" + b"a" * 30 + b"/" + token):
+        assert any(text[a:b].endswith(token[-8:]) for a, b, _ in secret_scan.entropy_spans(text, []))
+
+
+@pytest.mark.parametrize("alphabet", ["letters", "lower", "base64", "hex"])
+def test_recall_on_planted_keys(alphabet):
+    import string
+
+    chars = {"letters": string.ascii_letters, "lower": string.ascii_lowercase, "base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789ABCDEF"}[alphabet]
+    rng = random.Random(12)
+    found = 0
+    for _ in range(400):
+        key = "".join(rng.choice(chars) for _ in range(rng.randint(24, 48)))
+        text = f"the value is {key} and no more".encode()
+        found += any(a < 13 + len(key) and b > 13 for a, b, _ in secret_scan.entropy_spans(text, []))
+    assert found >= 0.9 * 400
+
+
+def plain_entropy(text, known):
+    """All hot windows by themselves, joined, without what is allowed or covered."""
+    import math
+
+    out = []
+    for m in re.finditer(rb"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        kind = 0 if re.fullmatch(rb"[0-9a-fA-F]*", run) else 1 if not re.search(rb"[0-9]", run) else 2
+        least = (3.0, 3.4, 3.7)[kind]
+        hot = [a for a in range(len(run) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(run[a : a + 20]).values()) >= least - 1e-9]
+        pieces = []
+        for a in hot:
+            if pieces and a <= pieces[-1][1]:
+                pieces[-1][1] = a + 20
+            else:
+                pieces.append([a, a + 20])
+        for a, b in pieces:
+            if not secret_scan.allowed(run[a:b]) and not any(s <= m.start() + a and m.start() + b <= e for s, e, _ in known):
+                out.append((m.start() + a, m.start() + b, 3 + kind))
+    return out
+
+
+def test_all_spans_against_plain_version(spark):
+    rng = random.Random(21)
+    chars = "abcdefXYZKQWP0123456789/_=-"
+    rows = [(k, " ".join(rng.choice(["word", "token=" + "".join(rng.choice(chars) for _ in range(30)), "é" + "".join(rng.choice(chars) for _ in range(rng.randint(15, 60))), HEX40, "some_longer_identifier_name_here"]) for _ in range(12))) for k in range(60)]
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(documents(spark, rows)).collect()}
+    for d, text in rows:
+        raw = text.encode()
+        known = secret_scan.base_spans(raw)
+        point = lambda at, raw=raw: len(raw[:at].decode())
+        spans = sorted(known + plain_entropy(raw, known), key=lambda s: (s[0], s[2], s[1]))
+        assert found[d] == ",".join(f"{secret_scan.KINDS[k]}:{point(a)}:{point(b)}" for a, b, k in spans)
 
 
 def test_secrets_of_nothing(spark):
