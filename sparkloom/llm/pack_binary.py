@@ -5,16 +5,19 @@ piece is a sequence by itself, so none crosses documents and, its length being a
 of one length form a bucket; sequence numbers run by partition, bucket and count, so a reader takes equal lengths
 together without a shuffle.
 
-Token ids: the tokenizer never joins characters across white space, so ids of a text are those of its pieces in order.
-Pieces are encoded once and remembered as packed ids (a bounded number), and a text's ids are one join of bytes.
+Token ids: a tokenizer whose steps before the model are those of CUTS never joins characters across white space, so ids
+of a text are those of its pieces in order. Pieces are encoded once and remembered as packed ids (a bounded number), and a
+text's ids are one join of bytes. With any other tokenizer every text is encoded as a whole.
 
 Defined cases: null text counts as empty and is one piece with the end id; null and repeated ids are packed row by row
-as documents of their own; an empty table gives no rows; columns other than doc_id and text are ignored.
+as documents of their own; an empty table gives no rows; columns other than doc_id and text are ignored; a text of any
+length is packed whole, alone in memory once it exceeds a slice.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -38,6 +41,17 @@ BLANK, LETTER, OTHER, FOREIGN = range(4)
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff!-&(-;=?-{}~ \t-\r]*")
 LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t-\r]+")
+#: Normalizer and pre-tokenizer (fixed values of the tokenizers format) after which texts may be cut into pieces.
+CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -151,11 +165,34 @@ class PieceIds(dict):
                 self[piece.encode()] = packed[a:b]
 
 
+class WholeIds:
+    """Packed ids of whole texts, whatever the tokenizer."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+
+
+def ids_by(tokenizer_json: str) -> PieceIds | WholeIds:
+    """By pieces where the tokenizer's steps before a byte-pair model are those of CUTS and its control strings stand in angle brackets, else by whole texts."""
+    parts = json.loads(tokenizer_json)
+    control = all(t["content"].startswith("<|") and t["content"].endswith("|>") and not t["normalized"] for t in parts.get("added_tokens") or ())
+    cut = all(parts.get(k) == v for k, v in CUTS.items()) and not parts.get("truncation") and not parts.get("padding")
+    return PieceIds(tokenizer_json) if cut and control and parts["model"]["type"] == "BPE" else WholeIds(tokenizer_json)
+
+
 def packer(tokenizer_json: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     name = "pieces " + hashlib.sha256(tokenizer_json.encode()).hexdigest()
 
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_in_process(name, lambda: PieceIds(tokenizer_json))
+        known = kept_in_process(name, lambda: ids_by(tokenizer_json))
         task = TaskContext.get()
         partition = task.partitionId() if task else 0
         counts = [0] * LONGEST.bit_length()
