@@ -14,6 +14,8 @@ no rows; columns other than doc_id and text are ignored; texts of any length are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +58,26 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.when(F.col("n_symbols") == 0, 0).otherwise(F.size(F.filter(words, lambda x: x.rlike("[#*$%&|<>]")))).cast("long").alias("n_symbol_words"),
         "words",
-        # Equal windows become neighbours by their hashes; the words decide.
-        F.when(F.size(words) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))).alias("windows"),
+        F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).alias("hashes"),
     )
-    windows = F.col("windows")
-    word = lambda x, k: F.get(words, x["i"] + k)
+    # Without two equal hashes no window repeats. Else windows are sorted by hash, so that equal ones become neighbours;
+    # where different windows have one hash, by their words.
+    hashes = F.col("hashes")
+    by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.select(*[c for c in rows.columns if c != "hashes"], F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), by_hash).alias("windows"))
+    word = lambda i, k: F.get(words, i + k)
+    equal = lambda i, j: (word(i, 0) == word(j, 0)) & (word(i, 1) == word(j, 1)) & (word(i, 2) == word(j, 2))
+
+    def neighbours(windows: Column, same: Callable[[Column, Column], Column]) -> Column:
+        near = lambda x, j: F.coalesce(same(x, F.get(windows, j)), F.lit(False))
+        return F.filter(windows, lambda x, j: near(x, j + 1) | near(x, j - 1))
 
-    def same(x: Column, j: Column) -> Column:
-        y = F.get(windows, j)
-        return (y["h"] == x["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
-
-    again = F.filter(windows, lambda x, j: F.coalesce(same(x, j + 1), F.lit(False)) | F.coalesce(same(x, j - 1), F.lit(False)))
-    rows = rows.select(*[c for c in rows.columns if c not in ("words", "windows")], F.sort_array(F.transform(again, lambda x: x["i"])).alias("starts"))
+    windows = F.col("windows")
+    clash = F.exists(F.sequence(F.lit(0), F.size(windows) - 2), lambda j: (F.get(windows, j)["h"] == F.get(windows, j + 1)["h"]) & ~equal(F.get(windows, j)["i"], F.get(windows, j + 1)["i"]))
+    by_words = F.sort_array(F.transform(windows, lambda x: F.struct(F.array(*(word(x["i"], k) for k in range(3))).alias("h"), x["i"].alias("i"))))
+    rows = rows.withColumn("sorted", F.when(clash, by_words))
+    again = F.when(F.col("sorted").isNotNull(), F.transform(neighbours(F.col("sorted"), lambda x, y: x["h"] == y["h"]), lambda x: x["i"])).otherwise(F.transform(neighbours(windows, lambda x, y: x["h"] == y["h"]), lambda x: x["i"]))
+    rows = rows.select(*[c for c in rows.columns if c not in ("words", "windows", "sorted")], F.sort_array(again).alias("starts"))
     covered = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"].cast("long"))
     return rows.select(*[c for c in rows.columns if c != "starts"], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
