@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands at a time; one longer row is taken alone.
 SLICE_BYTES = 4 << 20
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where it is unset, a temporary one in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -84,3 +87,20 @@ def fresh(taken: list[str], stem: str) -> str:
     while stem.lower() in lower:
         stem += "_"
     return stem
+
+
+#: Keys that one hot key is spread over.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, key: str, by: str, looked_up: DataFrame, how: str = "inner") -> DataFrame:
+    """Join `rows` to `looked_up` (unique `key`) where one key may hold a large part of `rows`.
+
+    Rows of a key are dealt to SALTS tasks by the low bits of the long column `by`; which of them a key has is counted
+    first (one long a key, with partial sums), and each row of `looked_up` goes to just those tasks.
+    """
+    salt, mask = fresh([*rows.columns, *looked_up.columns], "salt"), fresh([*rows.columns, *looked_up.columns], "mask")
+    salted = rows.withColumn(salt, F.coalesce(F.col(by), F.lit(0)).bitwiseAND(SALTS - 1).cast("int"))
+    present = salted.groupBy(key).agg(F.bit_or(F.expr(f"shiftleft(1L, {salt})")).alias(mask))
+    dealt = looked_up.join(present, key).withColumn(salt, F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: (F.call_function("shiftright", F.col(mask), k).bitwiseAND(1) == 1)))).drop(mask)
+    return salted.join(dealt, [key, salt], how).drop(salt)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop_path, materialise
+from sparkloom.llm.common import drop_path, materialise, spread_join
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (two long columns): the root is the least id reachable.
 
     Self loops and repeated edges do no harm; no edges give no rows. A node's neighbours are never gathered: minima are
-    aggregated with partial sums and joined back, and each round at least shortens every path, so rounds grow with the
+    aggregated with partial sums and joined back, those of a hub by many tasks, and each round at least shortens every path, so rounds grow with the
     logarithm of the longest one.
     """
     a, b = edges.columns
@@ -47,10 +47,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, "u", "v", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = spread_join(down, "u", "v", small_least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         following = materialise(small)
         inner = following.join(following.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
         several = following.groupBy("u").count().where("count > 1").limit(1).count()

@@ -15,7 +15,8 @@ Every other split of up to 3 differences over three blocks falls under the first
 pairs are verified by their distance. Links keep connectivity exactly: members of a class are all linked to one another.
 
 Defined cases: null text counts as empty (fingerprint zero); null ids take part, and a component without any other id
-has component null; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
+has component null; repeated rows give a row each; an empty table gives no rows; other columns are ignored; texts of any
+length are read whole, one at a time once they exceed a slice.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh, materialise, slices, table, texts
+from sparkloom.llm.common import fresh, materialise, slices, spread_join, table, texts
 from sparkloom.llm.components import connected_components
 
 RADIUS = 3
@@ -207,21 +208,28 @@ def linked(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of (doc_id, text)."""
+    """(doc_id, fp, component_id) of each row of (doc_id, text).
+
+    However many rows share a fingerprint, or fingerprints a component, joins back to them are spread over tasks.
+    """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(named.mapInArrow(grouped_batches, "fp long, doc_ids array<long>"))
     distinct = materialise(rows.groupBy("fp").agg(F.coalesce(F.min(F.array_min("doc_ids")), F.lit(NO_ID)).alias("node")))
     roots = connected_components(linked(distinct)).withColumnsRenamed({"id": "fp"})
-    linked_prints = distinct.join(roots, "fp")
+    linked_prints = materialise(distinct.join(roots, "fp"))
     least = linked_prints.groupBy("root").agg(F.min("node").alias("component"))
-    of = linked_prints.join(least, "root").select("fp", "component")
-    all_prints = distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    joined = rows.join(all_prints, "fp").select("fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.explode("doc_ids").alias("doc_id"))
+    of = spread_join(linked_prints, "root", "fp", least).select("fp", "component")
+    all_prints = materialise(distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "node").alias("component")))
+    dealt = rows.withColumn("by", F.xxhash64("doc_ids"))
+    joined = spread_join(dealt, "fp", "by", all_prints).select("fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.explode("doc_ids").alias("doc_id"))
     return joined.select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the least doc_id (null last; then the least hash of the row), with all columns; of rows equal throughout, one."""
+    """Of each component the row with the least doc_id (null last; then the least hash of the row), with all columns; of rows equal throughout, one.
+
+    A hash of all columns tells rows of one id apart, so no group of copies is gathered in one task.
+    """
     key, mark = fresh(docs.columns, "key"), fresh(docs.columns, "mark")
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), mark: F.xxhash64(*docs.columns)})
     rows = materialise(keyed.select(F.col(key).alias("id"), F.col(mark).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(row_prints, "id long, mark long, fp long"))

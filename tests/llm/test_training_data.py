@@ -145,6 +145,28 @@ def test_pack(spark):
         assert {r.doc_tokens for r in own} == {len(ids)}
 
 
+def test_pack_with_another_tokenizer(spark, tmp_path):
+    """A cased word-level model, and one that cuts as the public one does but keeps case."""
+    import json
+
+    import tokenizers
+
+    words = ["<unk>", "x", "Hello", "World", "hello", "world", ","]
+    cased = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: k for k, w in enumerate(words)}, "<unk>"))
+    cased.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    parts = json.load(open(pack_binary.public_tokenizer(), encoding="utf-8"))
+    assert isinstance(pack_binary.ids_by(json.dumps(parts)), pack_binary.PieceIds)
+    parts["normalizer"]["normalizers"].pop()
+    assert isinstance(pack_binary.ids_by(json.dumps(parts)), pack_binary.WholeIds)
+    for k, made in enumerate((cased, tokenizers.Tokenizer.from_str(json.dumps(parts)))):
+        path = str(tmp_path / f"{k}.json")
+        made.save(path)
+        rows = [(1, "Hello World, hello"), (2, None), (3, "It's A World" * 50)]
+        found = sorted(pack_binary.pack_documents(documents(spark, rows), path).collect(), key=lambda r: (r.doc_id, r.start))
+        for d, t in rows:
+            assert array.array("I", b"".join(r.ids for r in found if r.doc_id == d)).tolist() == made.encode(t or "", add_special_tokens=False).ids + [1]
+
+
 def test_decompose():
     for n in (1, 2, 3, 2047, 2048, 2049, 5000):
         parts = pack_binary.decompose(n)
@@ -214,6 +236,14 @@ def test_quality_rules(spark):
     assert quality_rules.judge_quality(documents(spark, [])).count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Every hash is made equal: the words alone must decide."""
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.least(F.length(c[0]), F.lit(0)).cast("long"))
+    rows = [(k, " ".join(random.Random(k).choice("abc") for _ in range(40))) for k in range(20)] + [(100, prose(3))]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.judge_quality(documents(spark, rows)).collect()}
+    assert got == {d: plain_quality(t)[4] for d, t in rows}
+
+
 def test_weak_labels_recover_accuracies():
     rng = random.Random(1)
     right = [0.95, 0.9, 0.8, 0.75, 0.6]
