@@ -9,10 +9,13 @@ anchors; windows of one anchor occurrence are neighbours and share a context of
 1. Each slice of documents finds its anchors (vectorised rolling hashes and sliding minima), settles repeats inside the
    slice, and sends one row for each anchor that still has an unsettled window: however frequent a passage is, a slice
    sends it once.
-2. Anchor rows are shuffled by hash; those that occur in several places ask their documents for contexts.
-3. Contexts are shuffled by hash. In a group, the LENGTH-byte strings of the distinct contexts are ranked by doubling.
-   No LPF array is built: whether LPF reaches LENGTH follows from runs of equal ranks, all of which but those at the
-   first position are repeats. Equal contexts are settled as one.
+2. Anchor rows are shuffled by hash and streamed; those that occur in several places ask their documents for contexts.
+   An anchor of more rows than are held at once is divided into parts.
+3. Contexts are shuffled by hash and part. The distinct contexts of a group are put in a suffix array (ranks by doubling,
+   LCP of neighbours from the ranks of each doubling). In suffix order, the previous and the next suffix with a smaller
+   position are those that a longest previous factor can start at: LPF is the greater of the least LCP towards either,
+   and windows with LPF of LENGTH or more go. Equal contexts are settled as one. Of anchors in parts, contexts with a
+   window left meet once more, without their parts.
 4. Removed windows return to their documents, whose bytes are cut.
 
 Hashes only bring windows together; bytes decide. Texts are shuffled once: both joins use the same exchange.
@@ -106,36 +109,78 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return place[first], starts[first], starts[last]
 
 
-def ranks(text: np.ndarray) -> np.ndarray:
-    """Rank of the LENGTH bytes from each place (places near the end compare what there is), by doubling."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)]
-    rank = np.unique(np.ascontiguousarray(words).view(">u8").ravel(), return_inverse=True)[1].astype(np.uint64)
+def ranks(text: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(span, rank of that many bytes from each place) for spans of 8, 16, ... and LENGTH bytes, by doubling; places near the end compare what there is."""
+    rank = np.unique(words_at(text), return_inverse=True)[1].astype(np.uint64)
     span = 8
+    levels = [(span, rank)]
     while span < LENGTH:
         step = min(span, LENGTH - span)
         following = np.zeros_like(rank)
         following[:-step] = rank[step:] + np.uint64(1)
         rank = np.unique(rank << np.uint64(32) | following, return_inverse=True)[1].astype(np.uint64)
         span += step
-    return rank
+        levels.append((span, rank))
+    return levels
+
+
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number, bytes in order of weight."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)]).view(">u8").ravel().astype(np.uint64)
+
+
+def common_prefix(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """LCP, at most LENGTH, of the suffixes at places a and b; both have LENGTH bytes at least."""
+    out = np.full(len(a), LENGTH, np.int64)
+    part = np.flatnonzero(levels[-1][1][a] != levels[-1][1][b])
+    a, b = a[part], b[part]
+    reach = np.zeros(len(part), np.int64)
+    for span, rank in reversed(levels[:-1]):
+        reach += span * (rank[np.minimum(a + reach, len(text) - 1)] == rank[np.minimum(b + reach, len(text) - 1)])
+    words = np.concatenate([words_at(text), np.zeros(128, np.uint64)])
+    differ = words[a + reach] ^ words[b + reach]
+    for k in range(1, 8):
+        reach += (differ >> np.uint64(64 - 8 * k) == 0) & (differ != 0)
+    out[part] = np.minimum(reach, LENGTH - 1)
+    return out
 
 
-def repeats(rank: np.ndarray, at: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether each of the suffixes `at` has a longest previous factor of LENGTH or more.
+def towards_smaller(position: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """LCP of each suffix, in suffix order, with the nearest one before it of a smaller position; what is below `least` may be any value below it.
 
-    In suffix order with ties by position, the LCP of neighbours reaches LENGTH inside a run of equal ranks only. There
-    positions rise: a suffix's previous smaller position is its neighbour before it, its next smaller one lies beyond
-    the run, where the LCP is less. So LPF >= LENGTH holds for all of a run but those at its first position.
+    `lcp` is that of each with its neighbour before. Pointers to nearer candidates are followed at once for all
+    suffixes, with the least LCP on the way; ways on which it falls below `least` end.
     """
-    rank = rank[at]
-    order = np.lexsort((position, rank))
-    r, p = rank[order], position[order]
-    head = np.ones(len(r), bool)
-    head[1:] = r[1:] != r[:-1]
-    smallest = p[head][np.cumsum(head) - 1]
-    out = np.zeros(len(r), bool)
-    out[order] = p > smallest
+    before = np.arange(len(position)) - 1
+    low = lcp.copy()
+    walk = np.arange(len(position))
+    while True:
+        walk = walk[(before[walk] >= 0) & (low[walk] >= least)]
+        walk = walk[position[before[walk]] >= position[walk]]
+        if not len(walk):
+            return np.where(before >= 0, low, 0)
+        via = before[walk]
+        low[walk], before[walk] = np.minimum(low[walk], low[via]), before[via]
+
+
+def longest_previous_factor(position: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """LPF of each suffix in suffix order, from the LCP of each with its neighbour before; what is below `least` may be any value below it."""
+    back = np.concatenate([lcp[:0:-1], lcp[:1]])
+    back[1:], back[:1] = back[:-1].copy(), 0
+    following = towards_smaller(position[::-1], back, least)[::-1]
+    return np.maximum(towards_smaller(position, lcp, least), following)
+
+
+def repeats(text: np.ndarray, at: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Whether each of the suffixes `at` of a text has a longest previous factor of LENGTH or more; `position` orders them."""
+    levels = ranks(text)
+    order = np.lexsort((position, levels[-1][1][at]))
+    places = at[order]
+    lcp = np.zeros(len(at), np.int64)
+    lcp[1:] = common_prefix(text, levels, places[:-1], places[1:])
+    out = np.zeros(len(at), bool)
+    out[order] = longest_previous_factor(position[order], lcp, LENGTH) >= LENGTH
     return out
 
 
@@ -173,7 +218,7 @@ def settle(group: np.ndarray, position: np.ndarray, windows: np.ndarray, context
         n = windows[batch]
         begin = np.cumsum(n) - n
         inside = np.arange(int(n.sum())) - np.repeat(begin, n)
-        again = repeats(ranks(bytes_of(coded.dictionary.take(pa.array(kind[batch])))), np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inside, np.repeat(position[batch], n) + inside)
+        again = repeats(bytes_of(coded.dictionary.take(pa.array(kind[batch]))), np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inside, np.repeat(position[batch], n) + inside)
         starts = again.copy()
         starts[1:] &= ~again[:-1] | (inside[1:] == 0)
         stops = again.copy()
@@ -213,16 +258,14 @@ def order_of(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return rank
 
 
-NOTES = "h long, id long, place long, span long"
-
-
-def pack(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Text hash (32 bits) and place in one long."""
-    return hashes.astype(np.int64) << 32 | place
+NOTES = "h long, id long, th long, place long, span long, part int"
+#: Bytes of notes and of contexts that a worker holds at once, but for a group of contexts.
+HELD = 8 << 20
 
 
-def notes(h: np.ndarray, ids: np.ndarray, place: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, ids, place, span)], names=["h", "id", "place", "span"])
+def notes(h: np.ndarray, ids: np.ndarray, th: np.ndarray, place: np.ndarray, span: np.ndarray, part: np.ndarray | None = None) -> pa.RecordBatch:
+    part = np.full(len(h), -1) if part is None else part
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (h, ids, th, place, span)), pa.array(part.astype(np.int32))], names=["h", "id", "th", "place", "span", "part"])
 
 
 def local_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,51 +291,75 @@ def local_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sent = np.zeros(len(place), bool)
         sent[once] = True
         send = np.flatnonzero(open_ & sent)
-        yield notes(h[send], ids[doc[send]], pack(hashes[doc[send]], (place - begin)[send]), np.full(len(send), -1))
+        yield notes(h[send], ids[doc[send]], hashes[doc[send]], (place - begin)[send], np.full(len(send), -1))
         if len(of):
             of = again[of]
             start = (low - begin)[of]
-            yield notes(ids[doc[of]] * 31 + start, ids[doc[of]], pack(hashes[doc[of]], start), (start + first) << 32 | (start + last))
+            yield notes(ids[doc[of]] * 31 + start, ids[doc[of]], hashes[doc[of]], start, (start + first) << 32 | (start + last))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """Sorted rows as tables of whole groups of h, of about `limit` bytes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def groups(batches: Iterator[pa.RecordBatch], limit: int, keys: int = 1) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted rows as tables of whole groups of their first columns, and False; a group of over `limit` bytes in several tables of its own, and True."""
+    whole: list[pa.RecordBatch] = []  # groups that have ended
+    own: list[pa.RecordBatch] = []  # the last group so far
+    parts, key = False, None
+    bytes_in = lambda held: sum(x.nbytes for x in held)
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(h, h[-1]))
-        if cut and size + batch.nbytes >= limit:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held, size = [batch.slice(cut)], 0
-        else:
-            held.append(batch)
-            size += batch.nbytes
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted notes, the anchors that occur in several places and all settled windows."""
-    for rows in whole_groups(batches, 8 << 20):
-        h, place, ids, span = (rows.column(k).to_numpy() for k in ("h", "place", "id", "span"))
-        anchor = span == -1
-        near = h[anchor][1:] == h[anchor][:-1]
-        twice = np.zeros(int(anchor.sum()), bool)
-        twice[1:] |= near
-        twice[:-1] |= near
-        keep = ~anchor
-        keep[np.flatnonzero(anchor)[twice]] = True
-        yield notes(h[keep], ids[keep], place[keep], span[keep])
-
-
-CONTEXTS = "h long, id long, th int, low long, windows int, context binary"
+        marks = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        lead = 0 if key is None else int((marks == key[:, None]).all(axis=0).sum())
+        if lead:
+            own.append(batch.slice(0, lead))
+        if lead < batch.num_rows:
+            if parts:
+                if own:
+                    yield pa.Table.from_batches(own), True
+            else:
+                whole += own
+            key = marks[:, -1]
+            cut = batch.num_rows - int((marks == key[:, None]).all(axis=0).sum())
+            if cut > lead:
+                whole.append(batch.slice(lead, cut - lead))
+            own, parts = [batch.slice(cut)], False
+        full = bytes_in(own) >= limit
+        if whole and (full or bytes_in(whole) >= limit):
+            yield pa.Table.from_batches(whole), False
+            whole = []
+        if full:
+            yield pa.Table.from_batches(own), True
+            own, parts = [], True
+    if own and parts:
+        yield pa.Table.from_batches(own), True
+    elif whole or own:
+        yield pa.Table.from_batches(whole + own), False
+
+
+def sharer(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted notes, the anchors that occur in several places, numbered by parts if they are more than `limit` bytes, and all settled windows."""
+        number = 0
+        for rows, in_parts in groups(batches, limit):
+            h, ids, th, place, span = (rows.column(k).to_numpy() for k in ("h", "id", "th", "place", "span"))
+            anchor = span == -1
+            near = h[anchor][1:] == h[anchor][:-1]
+            twice = np.full(int(anchor.sum()), in_parts)
+            if len(twice):
+                twice[1:] |= near
+                twice[:-1] |= near
+            keep = ~anchor
+            keep[np.flatnonzero(anchor)[twice]] = True
+            number += in_parts
+            yield notes(h[keep], ids[keep], th[keep], place[keep], span[keep], np.full(int(keep.sum()), number if in_parts else -1))
+
+    return shared_batches
+
+
+CONTEXTS = "h long, part int, id long, th long, low long, windows int, context binary"
 
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of the anchors that documents are asked for (`places`)."""
+    """Contexts of the anchors that documents are asked for (`places`, with the parts above PLACE)."""
     for batch in slices(batches, "text", SLICE):
         text, ends = joined(batch)
         ids, hashes = columns(batch, "id", "th")
@@ -303,23 +370,56 @@ def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         begin = np.concatenate([[0], ends[:-1]])
         asked = batch.column(batch.schema.get_field_index("places"))
         flat, counts = asked.flatten().to_numpy(), asked.value_lengths().to_numpy()
-        wanted = np.isin(place, flat + np.repeat(begin, counts))
-        k = np.flatnonzero(wanted)
+        wanted, part = (flat & int(PLACE)) + np.repeat(begin, counts), (flat >> 33) - 1
+        order = np.argsort(wanted, kind="stable")
+        wanted, part = wanted[order], part[order]
+        k = np.flatnonzero(np.isin(place, wanted))
+        part = part[np.searchsorted(wanted, place[k])]
         view = text.tobytes()
         h = gram_hashes(text, place[k]).view(np.int64)
         contexts = [view[a : b + LENGTH] for a, b in zip(low[k].tolist(), high[k].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[doc[k]]), pa.array(hashes[doc[k]], pa.int32()), pa.array((low - begin[doc])[k]), pa.array((high - low + 1)[k].astype(np.int32)), pa.array(contexts, pa.binary())], names=["h", "id", "th", "low", "windows", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(part.astype(np.int32)), pa.array(ids[doc[k]]), pa.array(hashes[doc[k]]), pa.array((low - begin[doc])[k]), pa.array((high - low + 1)[k].astype(np.int32)), pa.array(contexts, pa.binary())], names=["h", "part", "id", "th", "low", "windows", "context"])
+
+
+def whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted contexts as tables of whole groups of anchor and part, of about HELD bytes."""
+    kept: list[pa.Table] = []
+    for rows, in_parts in groups(batches, HELD, 2):
+        here = rows.column("h")[0].as_py(), rows.column("part")[0].as_py()
+        if kept and not (in_parts and here == of):
+            yield pa.concat_tables(kept)
+            kept = []
+        if in_parts:
+            of = here
+            kept.append(rows)
+        else:
+            yield rows
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+SETTLED = "id long, th long, span long, " + CONTEXTS.replace("id long, th long, ", "")
 
 
 def settled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of sorted contexts: (id, th, span)."""
-    for rows in whole_groups(batches, 8 << 20):
-        h, ids, th, low, windows = (rows.column(k).to_numpy() for k in ("h", "id", "th", "low", "windows"))
-        group = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
+    """Repeated windows of sorted contexts (id, th, span), and the contexts of anchors in parts (span -1) that have a window left."""
+    for rows in whole_contexts(batches):
+        h, part, ids, th, low, windows = (rows.column(k).to_numpy() for k in ("h", "part", "id", "th", "low", "windows"))
+        group = np.cumsum((np.diff(h, prepend=h[:1]) != 0) | (np.diff(part, prepend=part[:1]) != 0))
         context = rows.column("context").combine_chunks()
-        of, first, last, _ = settle(group, (order_of(ids, th) << 32) + low, windows.astype(np.int64), context if isinstance(context, pa.Array) else context.chunk(0))
+        context = context if isinstance(context, pa.Array) else context.chunk(0)
+        of, first, last, done = settle(group, (order_of(ids, th) << 32) + low, windows.astype(np.int64), context)
         span = (low[of] + first) << 32 | (low[of] + last)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(th[of], pa.int32()), pa.array(span)], names=["id", "th", "span"])
+        left = np.flatnonzero((part >= 0) & ~done)
+        none = len(of)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([ids[of], ids[left]])), pa.array(np.concatenate([th[of], th[left]])), pa.array(np.concatenate([span, np.full(len(left), -1)])),
+                *(pa.concat_arrays([pa.nulls(none, t), pa.array(x[left].astype(t.to_pandas_dtype()), t)]) for x, t in ((h, pa.int64()), (part, pa.int32()), (low, pa.int64()), (windows, pa.int32()))),
+                pa.concat_arrays([pa.nulls(none, pa.binary()), context.take(pa.array(left)).cast(pa.binary())]),
+            ],
+            names=["id", "th", "span", "h", "part", "low", "windows", "context"],
+        )
 
 
 def covered(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,15 +455,18 @@ def cutter(keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Bytes, removed bytes, removed runs and digest of what is left of each row of (doc_id, text); the rest itself if `keep_text`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = named.select("id", "th", "text").mapInArrow(local_batches, NOTES)
-    shared = materialise(found.repartition("h").sortWithinPartitions("h").mapInArrow(shared_batches, NOTES))
-    th = F.shiftright("place", 32).cast("int").alias("th")
-    asked = shared.where("span = -1").select("id", th, F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("places"))
+    shared = materialise(found.repartition("h").sortWithinPartitions("h").mapInArrow(sharer(HELD), NOTES))
+    asked = shared.where("span = -1").select("id", "th", F.expr("shiftleft(cast(part + 1 as bigint), 33) | place").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("places"))
     # Both joins take the same columns of the texts, so that one exchange serves them.
     contexts = named.join(asked.hint("shuffle_hash"), ["id", "th"]).mapInArrow(context_batches, CONTEXTS)
-    settled = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(settled_batches, "id long, th int, span long")
-    gone = settled.unionByName(shared.where("span <> -1").select("id", th, "span")).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
+    settled = contexts.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(settled_batches, SETTLED)
+    settled = materialise(settled)
+    again = settled.where("span = -1").select("h", F.lit(-1).alias("part"), "id", "th", "low", "windows", "context")
+    across = again.repartition("h").sortWithinPartitions("h").mapInArrow(settled_batches, SETTLED)
+    spans = [x.where("span <> -1").select("id", "th", "span") for x in (settled, across, shared)]
+    gone = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
     rows = named.join(gone.hint("shuffle_hash"), ["id", "th"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(cutter(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 

@@ -190,9 +190,53 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [1 << 21, 700])
-def test_repeats(spark, monkeypatch, size):
+def test_longest_previous_factors(monkeypatch):
+    """All values up to LENGTH, and those of `least` or more, against a plain search."""
+    monkeypatch.setattr(suffix_dedup, "LENGTH", 20)
+    rng = np.random.default_rng(11)
+    for size in (2, 3, 60):
+        text = rng.integers(0, size, 300).astype(np.uint8)
+        text[150:190] = text[20:60]
+        at = np.arange(len(text) - 19)
+        position = rng.permutation(len(at))
+        raw = text.tobytes()
+
+        def shared(a, b, raw=raw):
+            return next((k for k in range(20) if raw[a + k] != raw[b + k]), 20)
+
+        want = np.array([max((shared(a, b) for b in at if position[b] < position[a]), default=0) for a in at])
+        levels = suffix_dedup.ranks(text)
+        order = np.lexsort((position, levels[-1][1][at]))
+        lcp = np.zeros(len(at), np.int64)
+        lcp[1:] = suffix_dedup.common_prefix(text, levels, order[:-1], order[1:])
+        for least in (1, 8, 20):
+            got = np.zeros(len(at), np.int64)
+            got[order] = suffix_dedup.longest_previous_factor(position[order], lcp, least)
+            assert ((got >= least) == (want >= least)).all() and (got[want >= least] == want[want >= least]).all()
+        assert (suffix_dedup.repeats(text, at, position) == (want >= 20)).all()
+
+
+def test_groups_of_sorted_rows():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(50):
+        keys = sorted(rng.randrange(6) for _ in range(rng.randrange(1, 60)))
+        cuts = sorted(rng.sample(range(len(keys) + 1), min(len(keys), 5)))
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b), pa.int64())], names=["h", "n"]) for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        found = list(suffix_dedup.groups(batches, rng.choice([16, 100, 10_000])))
+        assert [n for t, _ in found for n in t.column("n").to_pylist()] == list(range(len(keys)))
+        for k in set(keys):
+            own = [parts for t, parts in found if k in t.column("h").to_pylist()]
+            assert len(own) == 1 or all(own)
+        assert all(len(set(t.column("h").to_pylist())) == 1 for t, parts in found if parts)
+
+
+@pytest.mark.parametrize(("size", "held"), [(1 << 21, 8 << 20), (700, 8 << 20), (700, 300)])
+def test_repeats(spark, monkeypatch, size, held):
+    """Also with many slices, and with anchors in many parts."""
     monkeypatch.setattr(suffix_dedup, "SLICE", size)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
     monkeypatch.setattr(suffix_dedup, "ARRAY", size)
     random.seed(5)
     pool = ["".join(random.choice("abcdé ") for _ in range(random.choice([60, 99, 100, 101, 150, 400]))) for _ in range(8)]
