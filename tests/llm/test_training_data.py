@@ -417,8 +417,54 @@ def test_escape_is_reversible():
 # --- leaks
 
 
+def plain_words(text):
+    from sparkloom.llm.wordhash import normal
+
+    return [n for n in map(normal, (text or "").split()) if n]
+
+
+def plain_tiles(item, text, least=5):
+    """Longest match of free words first, then least text and least item position, found anew after every tile."""
+    item, text, out = list(item), list(text), []
+    while True:
+        best = (0, 0, 0)
+        for t in range(len(text)):
+            for p in range(len(item)):
+                n = 0
+                while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and item[p + n] is not None:
+                    n += 1
+                if n >= least and n > best[0]:
+                    best = (n, t, p)
+        n, t, p = best
+        if not n:
+            return out
+        out.append((p, t, n))
+        item[p : p + n], text[t : t + n] = [None] * n, [object()] * n
+
+
+def plain_leaks(rows, items):
+    out = []
+    for i, item in {(i, t) for i, t in items}:
+        words = plain_words(item)
+        seeds = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for d, text in rows:
+            if 0 < len(words) < 5:
+                made = [(0, 0, len(words))] * any(plain_words(x) == words for x in (text or "").split("\n"))
+            else:
+                own = plain_words(text)
+                made = plain_tiles(words, own) if any(tuple(own[k : k + 5]) in seeds for k in range(len(own) - 4)) else []
+            covered = sum(n for *_, n in made)
+            if words and covered >= 0.5 * len(words):
+                out.append((d, i, len(words), covered, len(made)))
+    return sorted(out, key=str)
+
+
+def found_leaks(docs, bench):
+    return sorted(((r.doc_id, r.item_id, r.item_words, r.covered_words, r.n_tiles) for r in decontaminate.contaminated_pairs(docs, bench).collect()), key=str)
+
+
 def test_leaks(spark):
-    items = [(1, prose(1, 30)), (2, prose(2, 24)), (2, prose(2, 24)), (3, "too few words"), (4, None)]
+    items = [(1, prose(1, 30)), (2, prose(2, 24)), (2, prose(2, 24)), (3, "too few words"), (4, None), (5, "..."), (6, "same same same same same same"), (None, prose(2, 24))]
     one, two = prose(1, 30).split(), prose(2, 24).split()
     rows = ODD + [
         (100, prose(50) + " " + items[0][1].upper() + "! " + prose(51)),
@@ -427,36 +473,45 @@ def test_leaks(spark):
         (103, " ".join(two[:16]) + " " + prose(55)),
         (104, prose(56)),
         (105, (items[0][1] + " ") * 30 + items[1][1]),
+        (106, "before\nToo few, words!\nafter"),
+        (107, "not too few words"),
+        (108, "same " * 300),
+        (103, " ".join(two[:16]) + " " + prose(55)),
     ]
     docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id): (r.covered_words, r.n_tiles) for r in decontaminate.contaminated_pairs(docs, bench).collect()}
-    assert found == {(100, 1): (30, 1), (101, 1): (30, 3), (103, 2): (16, 1), (105, 1): (30, 1), (105, 2): (24, 1)}
+    want = plain_leaks(rows, items)
+    assert {(100, 1, 30, 30, 1), (101, 1, 30, 30, 3), (103, 2, 24, 16, 1), (105, 1, 30, 30, 1), (105, 2, 24, 24, 1), (106, 3, 3, 3, 1), (108, 6, 6, 6, 1)} <= set(want)
+    assert found_leaks(docs, bench) == want
     left = decontaminate.decontaminated(docs, bench)
-    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in (100, 101, 103, 105))
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in {x[0] for x in want})
     assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
+    assert decontaminate.decontaminated(docs.limit(0), bench).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark):
-    items = spark.createDataFrame([(k, prose(k, 20)) for k in range(30)], "item_id long, text string")
-    assert sorted(k for block in decontaminate.blocks(items, limit=300) for k, _ in block) == list(range(30))
+def test_leaks_of_the_tables(spark):
+    d = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    want = plain_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    assert want and found_leaks(docs, bench) == want
 
 
 def test_tiles_against_plain_greedy():
     rng = random.Random(9)
-    for _ in range(60):
-        item, text = [rng.randrange(4) for _ in range(25)], [rng.randrange(4) for _ in range(40)]
-        seeds = [t for t in range(len(text) - 2) if any(item[p : p + 3] == text[t : t + 3] for p in range(len(item) - 2))]
-        made = decontaminate.tiles(item, text, seeds, 3)
-        used_item, used_text = set(), set()
-        for p, t, n in made:
-            assert n >= 3 and item[p : p + n] == text[t : t + n]
-            assert not used_item & set(range(p, p + n)) and not used_text & set(range(t, t + n))
-            used_item |= set(range(p, p + n))
-            used_text |= set(range(t, t + n))
-        for t in range(len(text) - 2):
-            for p in range(len(item) - 2):
-                if item[p : p + 3] == text[t : t + 3]:
-                    assert used_item & set(range(p, p + 3)) or used_text & set(range(t, t + 3))
+    for size in (2, 4, 30):
+        for _ in range(40):
+            item, text = [rng.randrange(1, size + 1) for _ in range(rng.randint(0, 25))], [rng.randrange(0, size + 1) for _ in range(rng.randint(0, 40))]
+            assert decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3) == plain_tiles(item, text, 3)
+
+
+def test_tiles_of_one_word_are_quick():
+    import time
+
+    for n in (200, 20_000):
+        began = time.time()
+        assert sum(k for *_, k in decontaminate.tiles(np.full(n, 7, np.uint64), np.full(20_000, 7, np.uint64))) == n
+        rng = np.random.default_rng(1)
+        decontaminate.tiles(rng.integers(1, 3, n).astype(np.uint64), rng.integers(1, 3, 20_000).astype(np.uint64))
+        assert time.time() - began < (1 if n == 200 else 10)
 
 
 # --- licences
