@@ -6,8 +6,7 @@ item. For a pair, running Karp-Rabin matching finds the longest match of at leas
 shorter ones; tiles may lie in any order, so a passage whose parts were moved is covered too. An item leaks if tiles cover
 at least THRESHOLD of its words.
 
-1. Items become rows of words and seeds. A bit filter of their seeds, FILTER_BITS bits at most, is all that is sent to
-   every task.
+1. Items become rows of words and seeds. A bit filter of their seeds, of bounded size, is all that is sent to every task.
 2. Documents are mapped over once: those with seeds that pass the filter become rows of these seeds and of the words
    under them, with a gap between stretches. Texts are not shuffled.
 3. Seeds join documents with items; pairs whose seeds cannot cover enough are left out, the others get both sequences and
@@ -30,17 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.bit_filter import BitFilter, filter_of, without
 from sparkloom.llm.common import fresh, materialise, slices, spread_join, table, texts
 from sparkloom.llm.wordhash import WordHash, hashed, shingles
 
 SEED_WORDS = 5
 THRESHOLD = 0.5
-#: The filter has FILTER_SHARE bits for each seed, between these numbers of bits.
-FILTER_SHARE, LEAST_BITS, FILTER_BITS = 32, 1 << 20, 1 << 27
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 ITEMS = "item long, item_id long, n_items long, item_words binary, seeds array<long>"
-HITS = "uid long, doc_id long, r1 long, r2 long, words binary, seeds array<long>"
+HITS = "uid long, doc_id long, mark long, words binary, seeds array<long>"
 PAIRS = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, coverage double"
 
 
@@ -135,31 +133,6 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return materialise(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(item_batches, ITEMS))
 
 
-class Filter:
-    """Which seeds may belong to an item: one bit, chosen by the high bits of the hash."""
-
-    def __init__(self, bits: int, table: np.ndarray):
-        self.shift, self.table = np.uint64(65 - bits.bit_length()), table
-
-    def passes(self, seeds: np.ndarray) -> np.ndarray:
-        at = seeds >> self.shift
-        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def filter_of(items: DataFrame) -> Filter:
-    """The filter of all items' seeds: its set words, a bounded number, are all that is collected."""
-    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    bits = LEAST_BITS
-    while bits < min(FILTER_BITS, FILTER_SHARE * n):
-        bits *= 2
-    at = F.shiftrightunsigned("seed", 65 - bits.bit_length())
-    placed = items.select(F.explode("seeds").alias("seed")).select(at.alias("at"))
-    set_ = placed.groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
-    return Filter(bits, table)
-
-
 def stretches(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The words under the seeds that start at `at`, with a zero between stretches."""
     covered = np.zeros(len(words) + 1, bool)
@@ -170,7 +143,7 @@ def stretches(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.insert(words[here], gap, np.uint64(0))
 
 
-def finder(known_seeds: Filter, short: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def finder(known_seeds: BitFilter, short: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents with seeds of items; `short`: there are items that a line may be."""
 
     def lines(text: bytes, known: WordHash) -> np.ndarray:
@@ -197,8 +170,8 @@ def finder(known_seeds: Filter, short: bool) -> Callable[[Iterator[pa.RecordBatc
                 here = stretches(words[first_word[r] : first_word[r] + counts[r]], own - first_seed[r])
                 found.append((r, here.tobytes(), np.unique(np.concatenate([rolled[own], extra.get(r, own[:0].astype(np.uint64))]))))
             pick = pa.array([r for r, *_ in found], pa.int64())
-            ids = [batch.column(batch.schema.get_field_index(c)).take(pick) for c in ("doc_id", "r1", "r2")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(found))), *ids, pa.array([w for _, w, _ in found], pa.binary()), longs([s for *_, s in found])], names=["uid", "doc_id", "r1", "r2", "words", "seeds"])
+            ids = [batch.column(batch.schema.get_field_index(c)).take(pick) for c in ("doc_id", "mark")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(found))), *ids, pa.array([w for _, w, _ in found], pa.binary()), longs([s for *_, s in found])], names=["uid", "doc_id", "mark", "words", "seeds"])
             uid += len(found)
 
     return hit_batches
@@ -206,10 +179,10 @@ def finder(known_seeds: Filter, short: bool) -> Callable[[Iterator[pa.RecordBatc
 
 def tiler(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaks among pairs (r1, r2, doc_id, item_id, words, item_words)."""
+        """Leaks among pairs (mark, doc_id, item_id, words, item_words)."""
         for batch in batches:
             kept, n_words, covered, counts = [], [], [], []
-            for k, (text, item) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            for k, (text, item) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 item = np.frombuffer(item, np.uint64)
                 made = tiles(item, np.frombuffer(text, np.uint64)) if len(item) >= SEED_WORDS else [(0, 0, len(item))]
                 total = sum(n for *_, n in made)
@@ -220,38 +193,38 @@ def tiler(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     counts.append(len(made))
             pick = pa.array(kept, pa.int64())
             share = pa.array([c / n for c, n in zip(covered, n_words)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in range(4)), *(pa.array(x, pa.int64()) for x in (n_words, covered, counts)), share], names=["r1", "r2", "doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in range(3)), *(pa.array(x, pa.int64()) for x in (n_words, covered, counts)), share], names=["mark", "doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
 
     return tile_batches
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
-    """Leaks with the two hashes of the document's row."""
+    """Leaks, with a hash of the document's row."""
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     items = items_of(benchmark)
     short = not items.where(F.col("n_items") < SEED_WORDS).isEmpty()
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(text, doc_id).alias("r2"), text.alias("text"))
-    hits = materialise(rows.mapInArrow(finder(filter_of(items), short), HITS))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("mark"), text.alias("text"))
+    hits = materialise(rows.mapInArrow(finder(filter_of(items.select(F.explode("seeds"))), short), HITS))
     by_seed = items.select("item", "n_items", F.explode("seeds").alias("seed")).groupBy("seed", "item", "n_items").agg(F.count("*").alias("times"))
     joined = spread_join(hits.select("uid", F.explode("seeds").alias("seed")), "seed", "uid", by_seed)
     # Each time a seed is in the item it can bring SEED_WORDS words under tiles.
     likely = joined.groupBy("uid", "item", "n_items").agg(F.sum("times").alias("times")).where(F.col("times") * SEED_WORDS >= threshold * F.col("n_items"))
     likely = materialise(likely.select("uid", "item"))
     pairs = spread_join(likely, "item", "uid", items.select("item", "item_id", "item_words")).join(hits.drop("seeds"), "uid")
-    return pairs.select("r1", "r2", "doc_id", "item_id", "words", "item_words").mapInArrow(tiler(threshold), "r1 long, r2 long, " + PAIRS)
+    return pairs.select("mark", "doc_id", "item_id", "words", "item_words").mapInArrow(tiler(threshold), "mark long, " + PAIRS)
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, n_tiles, coverage) of every leak."""
-    return leaks(docs, benchmark, threshold).drop("r1", "r2")
+    return leaks(docs, benchmark, threshold).drop("mark")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no leak."""
-    one, two = fresh(docs.columns, "r1"), fresh(docs.columns, "r2")
-    gone = materialise(leaks(docs, benchmark, threshold).select(F.col("r1").alias(one), F.col("r2").alias(two)).distinct())
+    mark = fresh(docs.columns, "mark")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    return docs.withColumns({one: F.xxhash64(doc_id, text), two: F.xxhash64(text, doc_id)}).join(gone, [one, two], "left_anti").select(*docs.columns)
+    gone = materialise(leaks(docs, benchmark, threshold).select(F.col("mark").alias(mark)).distinct())
+    return without(docs.withColumn(mark, F.xxhash64(doc_id, text)), mark, gone).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

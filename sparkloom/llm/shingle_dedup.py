@@ -1,39 +1,46 @@
-"""Near copies by exact Jaccard similarity of 5-word shingles, found by prefix filtering.
+"""Near copies by Jaccard similarity of 5-word shingles: candidates by MinHash bands, each link verified on the texts.
 
-All shingles stand in one order, frequent ones last. Two sets of similarity 0.8 or more share a shingle among the first
-n - ceil(0.8 n) + 1 of each, so only those are shuffled. Rows of equal shingles whose sizes and positions still allow
-the similarity are candidates, and each candidate pair is settled by the shingles of its texts. The order changes the
-cost, never the pairs: of the frequent shingles at most HEAVY are known.
+The second step of the pipeline's stage of near copies. SimHash fingerprints of texts of similarity 0.8 lie about ten
+bits apart, and no ball of that radius can be enumerated; so where fingerprints end, sets of shingles go on.
 
-A shingle of more than NEAR + 1 rows first compares each row with its NEAR next by size. Then the pairs further apart
-follow, but those that are connected already: components stay exact, and large groups of copies are not compared
-pairwise.
+PERMUTATIONS minima of hashed shingles are a text's signature. BANDS bands of ROWS minima each make a key: two texts of
+similarity 0.8 share one with probability 0.99997. With the key goes one bit of every minimum, from which the similarity of
+two texts is estimated within 0.05.
 
-Defined cases: null text counts as empty; a text of fewer than five words is one shingle of them all; rows are taken to
-differ in some column.
+In a group of equal keys the first text leads: those that may be similar to it (estimate of LOOSE or more, four
+deviations below 0.8) are candidates, and those that surely are (TIGHT) need no other leader; the rest goes on with the
+next leader. So a large group of copies gives a pair a member, not all pairs. That is done in each slice of documents
+first: of a group, however large, a slice sends its leaders only.
+
+Candidates are verified on whole texts, first one a text, then those whose ends are still in different components.
+
+Defined cases: null text counts as empty; a text of fewer than five words is one shingle of them all; rows equal
+throughout count as one text; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fresh, materialise, slices, texts
+from sparkloom.llm.bit_filter import filter_of, passing, without
+from sparkloom.llm.common import fresh, materialise, slices, spread_join, texts
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.wordhash import MULTIPLIER, REMEMBERED, shingles
 
 WORDS = 5
 SEED = 42
-#: Shingles that begin more sets than this count as frequent; the most frequent HEAVY of them are put last.
-FREQUENT = 32
-HEAVY = 100_000
-NEAR = 32
+BANDS, ROWS, PERMUTATIONS = 20, 4, 128
+#: Bits of 128 that may differ: estimated similarity of 0.58 and of 0.87 at least.
+LOOSE, TIGHT = 27, 8
 NO_ID = 2**63 - 1
-PREFIX = "h long, node long, n int, pos int"
+#: `other` is set in rows that are pairs already.
+BAND = "key long, node long, s0 long, s1 long, other long"
+FACTORS = np.random.default_rng(SEED).integers(1, 2**63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Words(dict):
@@ -54,7 +61,7 @@ def shingle_set(text: bytes) -> set[bytes]:
 
 
 def shingle_rows(batch: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of texts, and the text that each is of."""
+    """Hashes of the shingles of texts, text by text, and how many each has (one at least)."""
     from xxhash import xxh64_intdigest
 
     words = [t.lower().split() for t in batch]
@@ -63,78 +70,94 @@ def shingle_rows(batch: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarr
     rolled, n = shingles(hashes, counts, WORDS)
     short = np.flatnonzero(counts < WORDS)
     whole = np.fromiter((xxh64_intdigest(b" ".join(words[k]), SEED) for k in short), np.uint64, len(short))
-    return np.concatenate([rolled, whole]), np.concatenate([np.repeat(np.arange(len(words)), n), short])
-
-
-def prefix_batches(heavy: np.ndarray, times: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, node, n, pos): the first shingles of each set in the common order, by how often the heavy ones (sorted) occur and by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in slices(batches, "text"):
-            h, doc = shingle_rows(texts(batch, "text"), known)
-            weight = np.zeros(len(h), np.int64)
-            if len(heavy):
-                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                weight = np.where(heavy[at] == h, times[at], 0)
-            order = np.lexsort((h, weight, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[new], doc[new]
-            n = np.bincount(doc, minlength=batch.num_rows)
-            pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
-            first = np.flatnonzero(pos < (n - (4 * n + 4) // 5 + 1)[doc])
-            node = batch.column(0).to_numpy()[doc[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(node), pa.array(n[doc[first]].astype(np.int32)), pa.array(pos[first].astype(np.int32))], names=["h", "node", "n", "pos"])
-
-    return run
-
-
-def candidates(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of equal h: up to NEAR apart by size; with roots, those further apart whose roots differ."""
-    mixed = (node ^ h).view(np.uint64) * MULTIPLIER
-    order = np.lexsort((mixed, n, h))
-    h, node, n, pos = h[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    root = None if root is None else root[order]
-    left, right = [node[:0]], [node[:0]]
-    for step in range(1, NEAR + 1) if root is None else range(NEAR + 1, len(h)):
-        # Sizes ascend within a group: what is too far apart here stays so at the next step.
-        near = np.flatnonzero((h[step:] == h[:-step]) & (5 * n[:-step] >= 4 * n[step:]))
-        if not len(near):
-            break
-        a, b = near, near + step
-        most = np.minimum(n[a] - pos[a], n[b] - pos[b])
-        can = 9 * most >= 4 * (n[a] + n[b])
-        if root is not None:
-            can &= root[a] != root[b]
-        left.append(node[a[can]])
-        right.append(node[b[can]])
-    return np.concatenate(left), np.concatenate(right)
+    return np.insert(rolled, (np.cumsum(n) - n)[short], whole), np.maximum(n, 1)
+
+
+def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (a row a text) and the 128 bits, as two numbers, of consecutive runs of `counts` hashes."""
+    first = np.cumsum(counts) - counts
+    mixed = hashes ^ hashes >> np.uint64(31)
+    keys, bits = np.zeros((len(counts), BANDS), np.uint64), np.zeros((len(counts), 2), np.uint64)
+    for k in range(PERMUTATIONS):
+        least = np.minimum.reduceat(mixed * FACTORS[k], first)
+        bits[:, k // 64] |= (least >> np.uint64(20) & np.uint64(1)) << np.uint64(k % 64)
+        if k < BANDS * ROWS:
+            band = k // ROWS
+            keys[:, band] = (keys[:, band] ^ least) * MULTIPLIER + np.uint64(band)
+    return keys, bits
+
+
+def candidates(node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group: pairs (leader, member), and the places of leaders."""
+    order = np.argsort(node, kind="stable")
+    left, right, leaders = [node[:0]], [node[:0]], []
+    while len(order):
+        lead, order = order[0], order[1:]
+        leaders.append(lead)
+        apart = np.bitwise_count(bits[order] ^ bits[lead]).sum(axis=1)
+        near = order[apart <= LOOSE]
+        left.append(np.full(len(near), node[lead]))
+        right.append(node[near])
+        order = order[apart > TIGHT]
+    return np.concatenate(left), np.concatenate(right), np.array(leaders)
+
+
+def grouped(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of all groups of equal keys, and which rows lead."""
+    order = np.lexsort((node, key))
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    starts, stops = np.append(0, cuts), np.append(cuts, len(order))
+    several = stops - starts > 1
+    left, right, lead = [node[:0]], [node[:0]], np.ones(len(key), bool)
+    for a, b in zip(starts[several].tolist(), stops[several].tolist()):
+        own = order[a:b]
+        x, y, leaders = candidates(node[own], bits[own])
+        left.append(x)
+        right.append(y)
+        lead[own] = False
+        lead[own[leaders]] = True
+    return np.concatenate(left), np.concatenate(right), lead
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+
+
+def band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the leaders of each slice, and its pairs."""
+    known = Words()
+    for batch in slices(batches, "text"):
+        node = batch.column(0).to_numpy()
+        keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
+        row = np.repeat(np.arange(len(node)), BANDS)
+        a, b, lead = grouped(keys.ravel(), node[row], bits[row])
+        pairs = distinct_pairs(a, b)
+        row = row[lead]
+        key, s0, s1 = (x.view(np.int64) for x in (keys.ravel()[lead], bits[row, 0], bits[row, 1]))
+        none, n = pa.nulls(len(row), pa.int64()), pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.array(y) if y is not None else n]) for x, y in ((key, None), (node[row], pairs[:, 0].copy()), (s0, None), (s1, None))] + [pa.concat_arrays([none, pa.array(pairs[:, 1].copy())])], names=["key", "node", "s0", "s1", "other"])
 
 
 def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of sorted rows (h, node, n, pos[, root]); a group that runs on into the next batch waits for it."""
-    held: list[list[np.ndarray]] = []
+    """Pairs of sorted (key, node, s0, s1); a group that runs on into the next batch waits for it."""
+    held: list[np.ndarray] = []
 
-    def done(columns: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = candidates(*columns, *[None] * (5 - len(columns)))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    def done(rows: np.ndarray) -> pa.RecordBatch:
+        pairs = distinct_pairs(*grouped(rows[0], rows[1], rows[2:].T.copy().view(np.uint64))[:2])
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
-        if held and held[0][0][0] != columns[0][-1]:
-            columns = [np.concatenate(parts) for parts in zip(*held, columns)]
-            held = []
-        cut = 0 if held else int(np.searchsorted(columns[0], columns[0][-1]))
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if held and held[0][0, 0] != rows[0, -1]:
+            rows, held = np.concatenate([*held, rows], axis=1), []
+        cut = 0 if held else int(np.searchsorted(rows[0], rows[0, -1]))
         if cut:
-            yield done([c[:cut] for c in columns])
-        held.append([c[cut:].copy() for c in columns])
+            yield done(rows[:, :cut])
+        held.append(rows[:, cut:].copy())
     if held:
-        yield done([np.concatenate(parts) for parts in zip(*held)])
+        yield done(np.concatenate(held, axis=1))
 
 
 def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +173,23 @@ def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def similar(rows: DataFrame) -> DataFrame:
     """Links (a, b) between rows (node, text), enough to keep every component of similarity 0.8 or more."""
-    nothing = np.zeros(0, np.uint64)
-    begun = rows.mapInArrow(prefix_batches(nothing, nothing.astype(np.int64)), PREFIX).groupBy("h").count().where(F.col("count") > FREQUENT)
-    often = sorted((r[0] % 2**64, r[1]) for r in begun.orderBy(F.desc("count"), "h").limit(HEAVY).collect())
-    heavy, times = np.array([o[0] for o in often], np.uint64), np.array([o[1] for o in often], np.int64)
-    prefix = materialise(rows.mapInArrow(prefix_batches(heavy, times), PREFIX))
-
-    def settled(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        known = materialise(rows.join(ends, "node", "left_semi"))
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    bands = materialise(rows.mapInArrow(band_batches, BAND))
+    dealt = bands.where("other is null").select("key", "node", "s0", "s1").repartition("key").sortWithinPartitions("key")
+    pairs = materialise(dealt.mapInArrow(pair_batches, "a long, b long").unionByName(bands.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    # Only texts that are in a pair are shuffled.
+    known = materialise(passing(rows, filter_of(ends), "node").dropDuplicates(["node"]))
+
+    def verified(chosen: DataFrame) -> DataFrame:
+        one = spread_join(chosen, "a", "b", known.select(F.col("node").alias("a"), F.col("text").alias("text_a")))
+        both = one.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(similar_batches, "a long, b long"))
 
-    dealt = lambda df: df.repartition("h").sortWithinPartitions("h").mapInArrow(pair_batches, "a long, b long")
-    links = settled(dealt(prefix))
-    large = materialise(prefix.groupBy("h").count().where(F.col("count") > NEAR + 1).select("h"))
-    if large.isEmpty():
-        return links
-    roots = connected_components(links).withColumnsRenamed({"id": "node"})
-    further = prefix.join(large, "h", "left_semi").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    return links.unionByName(settled(dealt(further)))
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    roots = connected_components(first)
+    root = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"of_{end}"))
+    apart = spread_join(pairs, "a", "b", pairs.select("a").distinct().join(root("a"), "a", "left")).join(root("b"), "b", "left")
+    return first.unionByName(verified(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
@@ -178,7 +197,8 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     key, mark = fresh(docs.columns, "key"), fresh(docs.columns, "mark")
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), mark: F.xxhash64(*docs.columns)})
     roots = connected_components(similar(keyed.select(F.col(mark).alias("node"), F.col("text").cast("string").alias("text"))))
-    linked = materialise(keyed.select(F.col(key).alias("key"), F.col(mark).alias("id")).join(roots, "id"))
+    ids = passing(keyed.select(F.col(key).alias("key"), F.col(mark).alias("id")), filter_of(roots.select("id")), "id")
+    linked = materialise(ids.distinct().join(roots, "id"))
     stay = linked.groupBy("root").agg(F.min(F.struct("key", "id")).alias("first")).select("first.id")
-    gone = linked.select("id").distinct().join(stay, "id", "left_anti").select(F.col("id").alias(mark))
-    return keyed.join(gone, mark, "left_anti").select(*docs.columns)
+    gone = materialise(linked.select("id").join(stay, "id", "left_anti").select(F.col("id").alias(mark)))
+    return without(keyed, mark, gone).select(*docs.columns)

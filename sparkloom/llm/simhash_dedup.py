@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.bit_filter import failing, filter_of, passing
 from sparkloom.llm.common import fresh, materialise, slices, spread_join, table, texts
 from sparkloom.llm.components import connected_components
 
@@ -235,9 +236,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = materialise(keyed.select(F.col(key).alias("id"), F.col(mark).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(row_prints, "id long, mark long, fp long"))
     distinct = materialise(rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")))
     roots = connected_components(linked(distinct)).withColumnsRenamed({"id": "fp"})
-    least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = least.select(F.col("first.id").alias(key), F.col("first.mark").alias(mark))
-    return keyed.join(stay.hint("shuffle_hash"), [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
+    least = materialise(distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")))
+    stay = least.select(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
+    # Rows that go, and those that stay in several equal copies, are few: only rows that may be among them are shuffled.
+    doubtful = rows.groupBy("id", "mark").count().join(stay.withColumn("stays", F.lit(True)), ["id", "mark"], "left").where("stays is null or count > 1").select("mark")
+    known = filter_of(materialise(doubtful))
+    settled = passing(keyed, known, mark).join(stay.withColumnsRenamed({"id": key, "mark": mark}), [key, mark], "left_semi").dropDuplicates([key, mark])
+    return failing(keyed, known, mark).select(*docs.columns).unionByName(settled.select(*docs.columns))
 
 
 def row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -538,24 +538,101 @@ def test_licenses_against_plain_containment(spark):
     assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs).collect()} == want
 
 
-# --- pipeline
+# --- quality classifier and pipeline
+
+
+def plain_scores(rows):
+    """The classifier in one process, row by row: votes of all, posteriors, and a scorer fitted on the distinct rows (all within the bound)."""
+    from sparkloom.llm.weak_labels import fit
+
+    Q = quality_classifier
+    texts = [(t or "").encode() for _, t in rows]
+    model = fit(Counter(map(Q.votes, texts)), Q.VOTERS)
+    examples = []
+    for text in {(d, t) for d, t in rows}:
+        words = (text[1] or "").encode().split()
+        n = Counter(at for w in words for at in Q.features(w))
+        n[Q.REPEAT] += Q.repeats(words)
+        at = sorted(k for k in n if n[k])
+        examples.append((np.array(at, "<i4").tobytes(), (np.array([n[k] for k in at]) / (len(words) + Q.SMOOTH)).astype("<f4").tobytes(), model.posterior(Q.votes((text[1] or "").encode()))))
+    weights, bias = Q.train(sorted(examples))
+    out = []
+    for text in texts:
+        words = text.split()
+        z = bias + (sum(float(weights[a]) + float(weights[b]) for a, b in map(Q.features, words)) + Q.repeats(words) * float(weights[Q.REPEAT])) / (len(words) + Q.SMOOTH)
+        out.append(1 / (1 + np.exp(-np.clip(z, -50, 50))) if words else 0.0)
+    return out
+
+
+def test_classifier_against_plain_version(spark):
+    rows = ODD + [(100 + k, prose(k)) for k in range(40)] + [(200 + k, " ".join(w + "$$" for w in prose(k).split())) for k in range(10)] + [(300, "WORD! " * 200), (301, prose(5, 60000))]
+    found = sorted(((str(r.doc_id), round(r.score, 6), r.kept) for r in quality_classifier.classify(documents(spark, rows)).collect()))
+    scores = plain_scores(rows)
+    assert found == sorted((str(d), round(p, 6), bool(p >= 0.5)) for (d, _), p in zip(rows, scores))
+    kept = quality_classifier.keep_quality(documents(spark, rows))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for (d, _), p in zip(rows, scores) if p >= 0.5)
+    # The rule at KEEP_AT itself: kept.
+    assert quality_classifier.KEEP_AT == 0.5 and all(k == (p >= 0.5) for _, p, k in found)
+
+
+def plain_stage(name, rows, bench):
+    """doc_ids that a stage keeps."""
+    from test_shingle_dedup import plain_kept
+
+    if name == "quality":
+        return [d for (d, _), p in zip(rows, plain_scores(rows)) if p >= 0.5]
+    if name == "near_copies":
+        stay = {c for _, _, c in plain_components(rows)}
+        return plain_kept([(d, t) for d, t in rows if d in stay])
+    if name == "leaks":
+        gone = {d for d, *_ in plain_leaks(rows, bench)}
+        return [d for d, _ in rows if d not in gone]
+    return [d for d, _ in rows]
 
 
 def test_pipeline_stages_against_plain_versions(spark):
     import corpus_pipeline
+    from test_pii import plain_loose, plain_spans
+
+    from sparkloom.llm import pii
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    model = pii.fit(spark)
     for name, stage in corpus_pipeline.STAGES:
-        before = docs.select("doc_id", "text").collect()
+        before = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         after = stage(spark, docs, d)
-        if name == "near_copies":
-            want = {c for _, _, c in plain_components([(r.doc_id, r.text) for r in before])}
-            assert sorted(r.doc_id for r in after.collect()) == sorted(want)
-        elif name == "personal_data":
-            assert sum(sum(plain_personal(r.text)[:4]) for r in after.collect()) == 0
-        elif name == "packing":
-            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before}
+        if name == "packing":
+            assert {r.doc_id for r in after.select("doc_id").collect()} == {i for i, _ in before}
             break
-        assert after.columns == docs.columns
-        docs = spark.createDataFrame(after.collect(), docs.schema)
+        rows = after.collect()
+        assert after.columns == docs.columns and sorted(r.doc_id for r in rows) == sorted(plain_stage(name, before, bench)), name
+        if name == "personal_data":
+            text = dict(before)
+            for r in rows:
+                spans, want, at = sorted(plain_spans(text[r.doc_id]) + plain_loose(text[r.doc_id], model)), "", 0
+                for a, k, b in spans:
+                    if a >= at:
+                        want += text[r.doc_id][at:a] + f"<{pii.KINDS[k]}>"
+                    at = max(at, b)
+                assert r.text == want + text[r.doc_id][at:]
+        docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Null, repeated, empty and very long rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    long = prose(77, 400_000)
+    rows = ODD + [(100 + k, prose(k)) for k in range(30)] + [(100, prose(0)), (400, long), (None, prose(9)), (None, None)]
+    spark.createDataFrame([(1, prose(3, 40)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (documents(spark, rows), documents(spark, [])):
+        docs = docs.withColumns({"key": F.lit("k"), "mark": F.lit(1), "node": F.lit(2), "code": F.lit(None).cast("string")})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, str(tmp_path))
+            assert after.columns == docs.columns
+            docs = spark.createDataFrame(after.collect(), after.schema)
+        found = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        if rows and found:
+            assert {r.doc_id for r in found} == {r.doc_id for r in docs.collect()} and 400 in {r.doc_id for r in found}
