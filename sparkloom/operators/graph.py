@@ -1,15 +1,99 @@
 """Dependency graphs as edge tables (src, dst, weight): never a dense matrix.
 
-Reachability is a semi-naive frontier loop: only pairs found in the last round are joined again, and every round is cut.
+Iterative operators first look at the size of the graph: one of at most BOUND distinct edges is handled by a single worker
+in linear time (only the edges go there, never pairs). Larger ones are handled by joins: components by colouring forwards
+and backwards, layers by peeling, reachability by a frontier of what the last round found; every round is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.shared import cut
 
+#: Distinct edges, and marked nodes, that one worker is given.
+BOUND = 200_000
+Pairs = list[tuple[str, str]]
+
+
+def record_batch(rows: list[tuple], schema: str) -> Any:
+    """Rows as an Arrow batch of string, int and long columns."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+
+
+def alone(edges: DataFrame, work: Callable[[Pairs], list[tuple]], schema: str) -> DataFrame:
+    """Rows that one worker makes of all edges (src, dst), which are at most BOUND."""
+
+    def run(batches: Iterator) -> Iterator:
+        pairs: Pairs = []
+        for batch in batches:
+            pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield record_batch(work(pairs), schema)
+
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, schema)
+
+
+def following(pairs: Pairs) -> dict[str, list[str]]:
+    """Sorted successors of every node."""
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    return {a: sorted(out[a]) for a in sorted(out)}
+
+
+def strong(pairs: Pairs) -> dict[str, str]:
+    """Least member of the strongly connected component of every node, components in the order of their successors first."""
+    after = following(pairs)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    waiting: set[str] = set()
+    found: dict[str, str] = {}
+    for start in after:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        open_.append(start)
+        waiting.add(start)
+        path = [(start, iter(after[start]))]
+        while path:
+            node, rest = path[-1]
+            for b in rest:
+                if b not in index:
+                    index[b] = low[b] = len(index)
+                    open_.append(b)
+                    waiting.add(b)
+                    path.append((b, iter(after[b])))
+                    break
+                if b in waiting:
+                    low[node] = min(low[node], index[b])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    at = len(open_) - 1
+                    while open_[at] != node:
+                        at -= 1
+                    members = open_[at:]
+                    del open_[at:]
+                    waiting.difference_update(members)
+                    found.update(dict.fromkeys(members, min(members)))
+    return found
+
+
+def fits(rows: DataFrame) -> bool:
+    return rows.limit(BOUND + 1).count() <= BOUND
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct edges between different nodes."""
@@ -46,29 +130,75 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
+def reach(after: dict[str, list[str]], start: str) -> set[str]:
+    """What `start` reaches by one edge at least."""
+    seen: set[str] = set()
+    ahead = [start]
+    while ahead:
+        for b in after.get(ahead.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                ahead.append(b)
+    return seen
+
+
+def from_each(edges: DataFrame, rows_of: Callable[[str, set[str]], list[tuple]], schema: str) -> DataFrame:
+    """Rows made of each node and what it reaches: nodes are dealt to tasks, each of which is given the edges, at most BOUND."""
+    after: dict[str, list[str]] = {}
+    for r in edges.select("src", "dst").collect():
+        after.setdefault(r.src, []).append(r.dst)
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            rows: list[tuple] = []
+            for node in batch.column(0).to_pylist():
+                rows += rows_of(node, reach(after, node))
+                if len(rows) > 50_000:
+                    yield record_batch(rows, schema)
+                    rows = []
+            yield record_batch(rows, schema)
+
+    return edges.select("src").distinct().mapInArrow(run, schema)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of at least one edge."""
     step = cut(adjacency(edges))
+    if fits(step):
+        return from_each(step, lambda a, seen: [(a, b) for b in seen], "src string, dst string")
     seen, frontier = step, step
     while True:
         new = frontier.alias("f").join(step.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
         frontier = cut(new.join(seen, ["src", "dst"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Nodes that `starts` (node) reach, themselves included."""
-    step = cut(adjacency(edges))
-    seen = cut(starts.select("node").distinct())
+    step, seen = cut(adjacency(edges)), cut(starts.select("node").distinct())
+    if fits(step) and fits(seen):
+
+        def search(pairs: Pairs) -> list[tuple]:
+            after = following([p for p in pairs if p[0] is not None])
+            found = {b for a, b in pairs if a is None}
+            ahead = list(found)
+            while ahead:
+                for b in after.get(ahead.pop(), ()):
+                    if b not in found:
+                        found.add(b)
+                        ahead.append(b)
+            return [(x,) for x in found]
+
+        return alone(step.unionByName(seen.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"))), search, "node string")
     frontier = seen
     while True:
         new = frontier.join(step, frontier.node == step.src).select(F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
@@ -82,11 +212,51 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
             return core
 
 
+def coloured(core: DataFrame) -> DataFrame:
+    """(node, component) of one component at least for every colour: the greatest node that reaches a node is its colour, and the nodes that reach back are its component."""
+    colours = cut(nodes(core).withColumn("colour", F.col("node")))
+    changed = -1
+    while changed:
+        passed = core.join(colours, core.src == colours.node).groupBy("dst").agg(F.max("colour").alias("above"))
+        new = cut(colours.join(passed, colours.node == passed.dst, "left").select("node", F.greatest("colour", F.coalesce("above", "colour")).alias("colour"), (F.coalesce("above", "colour") > F.col("colour")).alias("new")))
+        changed = new.where("new").limit(1).count()
+        colours = new.drop("new")
+    of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"of_{end}"))
+    inside = cut(core.join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("colour")))
+    seen = cut(colours.where("node = colour"))
+    frontier = seen
+    while True:
+        back = frontier.withColumnsRenamed({"node": "dst"}).join(inside, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+        frontier = cut(back.join(seen, ["node", "colour"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen.join(seen.groupBy("colour").agg(F.min("node").alias("component")), "colour").select("node", "component")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components with several members; named by their least member."""
-    pairs = closure(cyclic_core(edges))
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return pairs.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component")).where("component is not null")
+    core, found = cut(adjacency(edges)), []
+    while not fits(core):
+        core = cyclic_core(core)
+        if fits(core):
+            break
+        part = cut(coloured(core))
+        found.append(part)
+        rest = core.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
+        core = cut(rest.select("src", "dst"))
+    out = alone(core, lambda pairs: list(strong(pairs).items()), "node string, component string")
+    for part in found:
+        out = out.unionByName(part)
+    several = out.groupBy("component").count().where("count > 1").select("component")
+    return cut(out.join(several, "component", "left_semi").select("node", "component"))
+
+
+def condensed(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges between components, each node of no larger one for itself."""
+    up = lambda end: of.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    joined = adjacency(edges).join(up("src"), "src", "left").join(up("dst"), "dst", "left")
+    return joined.select(F.coalesce("of_src", "src").alias("src"), F.coalesce("of_dst", "dst").alias("dst")).where("src <> dst").distinct()
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -104,9 +274,21 @@ def tears(edges: DataFrame) -> DataFrame:
 
 
 def propagation_cost(edges: DataFrame) -> DataFrame:
-    """Share of pairs, each node with itself included, that a change can pass between."""
-    n = nodes(adjacency(edges)).agg(F.count("*").alias("n"))
-    pairs = closure(edges).where("src <> dst").agg(F.count("*").alias("pairs"))
+    """Share of pairs, each node with itself included, that a change can pass between.
+
+    What each node reaches is only counted. Beyond BOUND edges, pairs of components stand for those of their members.
+    """
+    step = cut(adjacency(edges))
+    n = nodes(step).agg(F.count("*").alias("n"))
+    if fits(step):
+        pairs = from_each(step, lambda a, seen: [(len(seen - {a}),)], "k long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"))
+    else:
+        of = components(step)
+        sizes = of.groupBy("component").agg(F.count("*").alias("size"))
+        size = lambda end: sizes.select(F.col("component").alias(end), F.col("size").alias(f"size_{end}"))
+        one = lambda end: F.coalesce(f"size_{end}", F.lit(1))
+        between = closure(condensed(step, of)).join(size("src"), "src", "left").join(size("dst"), "dst", "left").select((one("src") * one("dst")).alias("k"))
+        pairs = between.unionByName(sizes.select((F.col("size") * (F.col("size") - 1)).alias("k"))).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"))
     return pairs.crossJoin(F.broadcast(n)).select("n", "pairs", F.when(F.col("n") > 0, (F.col("pairs") + F.col("n")) / (F.col("n") * F.col("n"))).otherwise(0.0).alias("cost"))
 
 
@@ -119,26 +301,123 @@ def degrees(edges: DataFrame) -> DataFrame:
     return joined.withColumn("instability", F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")))
 
 
-def rate(value: Column, good: float, fair: float, rising: bool = False) -> Column:
-    """good, fair or poor by two thresholds; `rising`: more is better."""
-    if rising:
-        return F.when(value > good, "good").when(value > fair, "fair").otherwise("poor")
-    return F.when(value < good, "good").when(value < fair, "fair").otherwise("poor")
+def rate(value: Column, good: Column | float, warning: Column | float, rising: bool = False, equal: bool = False) -> Column:
+    """good, warning or critical by two limits; `rising`: more is better; `equal`: a limit itself still counts."""
+    within = (lambda x: value > x) if rising else (lambda x: value <= x) if equal else (lambda x: value < x)
+    return F.when(within(good), "good").when(within(warning), "warning").otherwise("critical")
 
 
-def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Layers of a graph: (node, level), level 0 depends on nothing and each other is one above the highest it depends on; and the nodes on or above cycles, which have none."""
-    left = cut(adjacency(edges))
-    rest = cut(nodes(left))
+def ratings(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """One row: propagation cost, members of the largest cycle, share of edges inside clusters (node, cluster), and how each is rated."""
+    largest = components(edges).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest_cycle"))
+    tagged = adjacency(edges).join(of.select(F.col("node").alias("src"), F.col("cluster").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("cluster").alias("b")), "dst")
+    quality = tagged.agg(F.coalesce(F.avg((F.col("a") == F.col("b")).cast("double")), F.lit(1.0)).alias("quality"))
+    row = propagation_cost(edges).select("cost").crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(quality))
+    return row.select("cost", rate(F.col("cost"), 0.10, 0.30).alias("cost_rating"), "largest_cycle", rate(F.col("largest_cycle"), 2, 10, equal=True).alias("cycle_rating"), "quality", rate(F.col("quality"), 0.80, 0.50, rising=True).alias("quality_rating"))
+
+
+def ranked(pairs: Pairs) -> list[tuple]:
+    """(node, component, level) of all nodes."""
+    of = strong(pairs)
+    ahead: dict[str, set[str]] = {c: set() for c in of.values()}
+    for a, b in pairs:
+        if of[a] != of[b]:
+            ahead[of[a]].add(of[b])
+    level: dict[str, int] = {}
+    for c in dict.fromkeys(of.values()):
+        level[c] = 1 + max((level[d] for d in ahead[c]), default=-1)
+    return [(n, c, level[c]) for n, c in of.items()]
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """Layers (node, component, level): components that depend on nothing are level 0, each other one is one above the highest it depends on; members of a component share its level."""
+    step = cut(adjacency(edges))
+    if fits(step):
+        return alone(step, ranked, "node string, component string, level int")
+    of = components(step)
+    left = cut(condensed(step, of))
+    rest = cut(nodes(step).join(of, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct())
     done, level = None, 0
-    while True:
+    while not rest.isEmpty():
         free = cut(rest.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            return done if done is not None else free, rest
         done = free if done is None else done.unionByName(free)
         rest = cut(rest.join(free, "node", "left_anti"))
         left = cut(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
         level += 1
+    named = nodes(step).join(of, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return named.join(done.withColumnsRenamed({"node": "component"}), "component").select("node", "component", "level")
+
+
+def partition(edges: DataFrame) -> DataFrame:
+    """Order of the partitioned matrix: level, and place in it by component and node; and how many edges of the node point to a later place (feedback), which only those inside a component can."""
+    ranks = cut(levels(edges))
+    place = F.row_number().over(Window.partitionBy("level").orderBy("component", "node")) - 1
+    of = lambda end: ranks.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    back = adjacency(edges).join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst and src < dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("feedback"))
+    return ranks.withColumn("place", place).join(back, "node", "left").select("node", "level", "place", F.coalesce("feedback", F.lit(0)).alias("feedback"))
+
+
+def bands(edges: DataFrame) -> DataFrame:
+    """Two readings of bands (node, band, longest): 1 for components that depend on another one and 0 for the others, and the longest path below."""
+    return levels(edges).select("node", F.when(F.col("level") > 0, 1).otherwise(0).alias("band"), F.col("level").alias("longest"))
+
+
+def greedy(power: float, passes: int) -> Callable[[list[tuple]], list[tuple]]:
+    """Assignment that no single move of a node to a neighbour's cluster makes cheaper, or what `passes` rounds reach."""
+
+    def search(rows: list[tuple]) -> list[tuple]:
+        near: dict[str, dict[str, float]] = {}
+        for a, b, w in rows:
+            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
+            near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
+        order = sorted(near)
+        of = {node: node for node in order}
+        size, inner = dict.fromkeys(order, 1), dict.fromkeys(order, 0.0)
+        whole = float(len(order)) ** power
+        held = lambda n, w: w * (float(n) ** power - whole)  # noqa: E731  cost of a cluster's inner weight over that of weight between clusters
+        for _ in range(passes):
+            moved = False
+            for node in order:
+                own = of[node]
+                to: dict[str, float] = {}
+                for other, w in near[node].items():
+                    to[of[other]] = to.get(of[other], 0.0) + w
+                mine = to.get(own, 0.0)
+                leave = held(size[own] - 1, inner[own] - mine) - held(size[own], inner[own])
+                best, goal = -1e-9, own
+                for cluster in sorted(to):
+                    if cluster != own:
+                        gain = leave + held(size[cluster] + 1, inner[cluster] + to[cluster]) - held(size[cluster], inner[cluster])
+                        if gain < best:
+                            best, goal = gain, cluster
+                if goal != own:
+                    size[own], inner[own] = size[own] - 1, inner[own] - mine
+                    size[goal], inner[goal] = size[goal] + 1, inner[goal] + to[goal]
+                    of[node], moved = goal, True
+            if not moved:
+                break
+        least: dict[str, str] = {}
+        for node in order:
+            least.setdefault(of[node], node)
+        return [(node, least[of[node]]) for node in order]
+
+    return search
+
+
+def search_clusters(edges: DataFrame, power: float = 2.0, passes: int = 50) -> DataFrame:
+    """Assignment (node, cluster) of low coordination cost by deterministic moves; a cluster is named by its least node. For graphs of at most BOUND edges; a larger one raises."""
+    step = cut(weighted(edges))
+    if not fits(step):
+        raise ValueError(f"cluster search is for graphs of at most {BOUND} edges")
+    search = greedy(power, passes)
+
+    def run(batches: Iterator) -> Iterator:
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns))
+        yield record_batch(search(rows), "node string, cluster string")
+
+    return step.select("src", "dst", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInArrow(run, "node string, cluster string")
 
 
 def clusters(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -182,18 +461,31 @@ def ready(items: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 
 def dependency_errors(items: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Repeated ids, and dependencies on itself, repeated, or on nothing."""
+    """Empty and repeated ids, and dependencies on itself, repeated, or on nothing."""
+    empty = items.where("trim(id) = ''").select("id", F.lit("empty_id").alias("error"))
     twice = items.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate_id").alias("error"))
     own = dependencies.where("id = needs").select("id", F.lit("self").alias("error"))
     again = dependencies.groupBy("id", "needs").count().where("count > 1").select("id", F.lit("repeated").alias("error"))
     missing = dependencies.join(items.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", F.lit("missing").alias("error"))
-    return twice.unionByName(own).unionByName(again).unionByName(missing)
+    return empty.unionByName(twice).unionByName(own).unionByName(again).unionByName(missing)
 
 
 def directed(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """Modules (node, module): cohesion, coupling and edges over the boundary; nodes of no module are left out."""
-    tagged = adjacency(edges).join(of.select(F.col("node").alias("src"), F.col("module").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("module").alias("b")), "dst")
-    return tagged.groupBy(F.col("a").alias("module")).agg(F.count_if(F.col("a") == F.col("b")).alias("inner_edges"), F.count_if(F.col("a") != F.col("b")).alias("boundary_edges")).withColumn("cohesion", F.col("inner_edges") / (F.col("inner_edges") + F.col("boundary_edges")))
+    """Report of modules (node, module): members, inner edges, neighbours outside, edges that leave, cohesion and coupling."""
+    plain = cut(adjacency(edges))
+    n = nodes(plain).agg(F.count("*").alias("n"))
+    module = lambda end, name: of.select(F.col("node").alias(end), F.col("module").alias(name))
+    tagged = plain.join(module("src", "a"), "src", "left").join(module("dst", "b"), "dst", "left")
+    own = tagged.where("a is not null").groupBy(F.col("a").alias("module")).agg(F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("inner_edges"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("boundary_edges"))
+    crossing = tagged.where("not a <=> b").select("src", "dst", "a", "b")
+    ends = crossing.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("a").alias("module")).unionByName(crossing.select(F.col("dst").alias("x"), F.col("src").alias("y"), F.col("b").alias("module"))).where("module is not null").distinct()
+    outside = ends.groupBy("module").agg(F.count("*").alias("outside"))
+    size = of.groupBy("module").agg(F.count("*").alias("size"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = size.join(own, "module", "left").join(outside, "module", "left").crossJoin(F.broadcast(n)).select("module", "size", "n", zero("inner_edges"), zero("boundary_edges"), zero("outside"))
+    k = F.col("size")
+    cohesion = F.col("inner_edges") / F.greatest(F.lit(1), k * (k - 1))
+    return rows.select("module", "size", "inner_edges", "boundary_edges", cohesion.alias("cohesion"), (F.col("outside") / F.greatest(F.lit(1), k * (F.col("n") - k) * 2)).alias("coupling"))
 
 
 def affinity(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -209,10 +501,110 @@ def quorum(members: DataFrame) -> DataFrame:
     return counted.withColumn("health", F.when(F.col("n_up") * 2 > F.col("total"), "healthy").when(F.col("n_up") > 0, "degraded").otherwise("critical"))
 
 
-def suggestions(edges: DataFrame) -> DataFrame:
-    """What to change first: tear edges of cycles, nodes that many need, and nodes many need that depend on much."""
-    d = degrees(edges)
-    torn = tears(edges).select(F.lit(1).alias("priority"), F.lit("break_cycle").alias("kind"), F.concat_ws(" -> ", "src", "dst").alias("subject"))
-    god = d.where("fan_in > 20").select(F.lit(2).alias("priority"), F.lit("split_hub").alias("kind"), F.col("node").alias("subject"))
-    unstable = d.where("instability > 0.8 and fan_in > 5").select(F.lit(3).alias("priority"), F.lit("stabilise").alias("kind"), F.col("node").alias("subject"))
-    return torn.unionByName(god).unionByName(unstable)
+def violations(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(kind, element, module, target, details) of elements of modules (node, module).
+
+    wrong_module: some neighbours in its own module, but more in another one (a row for each such); god_element: needed from
+    three modules or more; cross_module_cycle: members of a cycle over several modules.
+    """
+    module = lambda end, name: of.select(F.col("node").alias(end), F.col("module").alias(name))
+    tagged = cut(adjacency(edges).join(module("src", "a"), "src").join(module("dst", "b"), "dst"))
+    both = tagged.unionByName(tagged.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    counted = both.groupBy("src", "a", "b").agg(F.count("*").alias("n"))
+    own = counted.where("a = b").select("src", F.col("n").alias("own"))
+    row = lambda df, kind, target, details: df.select(F.lit(kind).alias("kind"), F.col("src").alias("element"), F.col("a").alias("module"), target.alias("target"), details.alias("details"))
+    wrong = row(counted.where("a <> b").join(own, "src").where("n > own"), "wrong_module", F.col("b"), F.col("n"))
+    needed = tagged.groupBy(F.col("dst").alias("src"), F.col("b").alias("a")).agg(F.count_distinct("a").alias("modules")).where("modules >= 3")
+    god = row(needed, "god_element", F.col("a"), F.col("modules"))
+    ring = components(edges).join(of, "node")
+    wide = ring.groupBy("component").agg(F.count_distinct("module").alias("modules")).where("modules > 1")
+    cycle = ring.join(wide, "component").select(F.col("node").alias("src"), F.col("module").alias("a"), "modules")
+    return wrong.unionByName(god).unionByName(row(cycle, "cross_module_cycle", F.col("a"), F.col("modules")))
+
+
+def migration_plan(edges: DataFrame, of: DataFrame, fit: float = 0.6) -> DataFrame:
+    """Steps (phase, action, element, from_module, to_module, risk) in the order of phase and element.
+
+    1 break cycles over modules, 2 move misplaced elements, 3 assign elements of no module of which more than `fit` of the
+    dependencies are with one, 4 split god elements that no earlier step names.
+    """
+    found = cut(violations(edges, of))
+    step = lambda df, phase, action, risk: df.select(F.lit(phase).alias("phase"), F.lit(action).alias("action"), "element", F.col("module").alias("from_module"), F.col("target").alias("to_module"), F.lit(risk).alias("risk"))
+    both = adjacency(edges)
+    ends = both.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(both.select(F.col("dst").alias("node"), F.col("src").alias("other"))).join(of, "node", "left_anti")
+    of_all = ends.groupBy("node").agg(F.count("*").alias("whole"))
+    loose = affinity(edges, of).join(of_all, "node").where(F.col("n") / F.col("whole") > fit)
+    assign = loose.select(F.lit(3).alias("phase"), F.lit("move_element").alias("action"), F.col("node").alias("element"), F.lit(None).cast("string").alias("from_module"), F.col("module").alias("to_module"), F.lit("low").alias("risk"))
+    breaks = step(found.where("kind = 'cross_module_cycle'"), 1, "extract_interface", "medium")
+    moves = step(found.where("kind = 'wrong_module'"), 2, "move_element", "low")
+    earlier = breaks.unionByName(moves).unionByName(assign)
+    splits = step(found.where("kind = 'god_element'"), 4, "split_element", "high").join(earlier.select("element").distinct(), "element", "left_anti")
+    return earlier.unionByName(splits.select(*earlier.columns))
+
+
+def suggestions(edges: DataFrame, of: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """What to change first (priority, kind, source, target): priority 0 critical, 1 high, 2 medium, 3 low.
+
+    Tear edges of cycles (critical if a cycle has over 10 members), pairs of clusters (node, cluster) with 3
+    edges or more, clusters of over 15 elements with cohesion below 0.3, elements with fan-in over 20, unstable ones
+    with fan-in over 5, edges against the order of the partition, and the steps of the migration to `modules`.
+    """
+    d, text = degrees(edges), lambda c: F.lit(c).cast("string")
+    row = lambda df, priority, kind, source, target: df.select(priority.alias("priority"), F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"))
+    high, medium, none = F.lit(1), F.lit(2), F.lit("")
+    ring = cut(components(edges))
+    largest = ring.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"))
+    out = row(tears(edges).crossJoin(F.broadcast(largest)), F.when(F.col("largest") > 10, 0).otherwise(1), "extract_interface", F.col("src"), F.col("dst"))
+    tagged = weighted(edges).join(of.select(F.col("node").alias("src"), F.col("cluster").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("cluster").alias("b")), "dst").where("a <> b")
+    out = out.unionByName(row(tagged.groupBy("a", "b").count().where("count >= 3"), medium, "create_module_boundary", text(F.col("a")), text(F.col("b"))))
+    out = out.unionByName(row(clusters(edges, of).where("size > 15 and cohesion < 0.3"), medium, "split_package", text(F.col("cluster")), none))
+    out = out.unionByName(row(d.where("fan_in > 20"), high, "extract_interface", F.col("node"), none))
+    out = out.unionByName(row(d.where("instability > 0.8 and fan_in > 5"), medium, "internalize_detail", F.col("node"), none))
+    inside = lambda end: ring.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    against = adjacency(edges).join(inside("src"), "src").join(inside("dst"), "dst").where("of_src = of_dst and src < dst")
+    out = out.unionByName(row(against, medium, "introduce_layer", F.col("src"), F.col("dst")))
+    if modules is None:
+        return out
+    return out.unionByName(row(migration_plan(edges, modules), F.when(F.col("risk") == "low", 3).when(F.col("risk") == "medium", 2).otherwise(1), "migration_step", F.col("element"), F.col("to_module")))
+
+
+def batches(items: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(id, batch): items (id) without dependencies (id, needs) are batch 0, each other one is one after the last it needs. Raises, with the errors, if the dependencies are in error or go in a circle."""
+    errors = dependency_errors(items, dependencies)
+    edges = dependencies.select(F.col("id").alias("src"), F.col("needs").alias("dst"))
+    circle = components(edges).select(F.col("node").alias("id"), F.lit("cycle").alias("error"))
+    first = errors.unionByName(circle).orderBy("error", "id").limit(20).collect()
+    if first:
+        raise ValueError("; ".join(f"{r.error}: {r.id}" for r in first))
+    return items.select("id").join(levels(edges).select(F.col("node").alias("id"), "level"), "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("batch"))
+
+
+def tag_cycles(edges: DataFrame) -> DataFrame:
+    """Chains (chain) of tags (child, parent) that are their own ancestors: one of each circle, a shortest one from its least tag, which begins and ends it."""
+    pairs = cut(adjacency(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))))
+    of = components(pairs)
+    tagged = pairs.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
+    inner = cut(tagged.select("src", "dst", F.col("a").alias("component")))
+    found, ahead = None, inner.where("src = component").select("component", F.array("src", "dst").alias("chain"))
+    while True:
+        ahead = cut(ahead)
+        closed = ahead.where(F.element_at("chain", -1) == F.col("component"))
+        best = closed.groupBy("component").agg(F.min("chain").alias("chain"))
+        found = best if found is None else found.unionByName(best)
+        rest = ahead.join(closed.select("component").distinct(), "component", "left_anti")
+        if rest.isEmpty():
+            return found.select("chain")
+        grown = rest.join(inner, (F.element_at("chain", -1) == inner.src) & (rest.component == inner.component)).where(~F.array_contains("chain", F.col("dst")) | (F.col("dst") == rest.component))
+        # Of the chains of equal length to one tag, the least.
+        ahead = grown.select(rest.component.alias("component"), F.concat("chain", F.array("dst")).alias("chain")).groupBy("component", F.element_at("chain", -1).alias("last")).agg(F.min("chain").alias("chain")).drop("last")
+
+
+def tag_orphans(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Tags of edges (child, parent) that are not among the known ones (tag)."""
+    return edges.select(F.explode(F.array("child", "parent")).alias("tag")).distinct().join(known, "tag", "left_anti")
+
+
+def all_tags(top: DataFrame, skills: DataFrame) -> DataFrame:
+    """Top-level tags (tag), and of skills (category, tags) the dashed category and each tag, without empty ones."""
+    dashed = F.trim(F.regexp_replace(F.regexp_replace(F.lower("category"), "[^a-z0-9]+", "-"), "-+", "-"), F.lit("-"))
+    return top.select("tag").unionByName(skills.select(dashed.alias("tag"))).unionByName(skills.select(F.explode("tags").alias("tag"))).where("tag <> ''").distinct()

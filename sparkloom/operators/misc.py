@@ -90,15 +90,15 @@ def generated(path: Column, head: Column) -> Column:
 
 
 def transition(items: DataFrame, changes: DataFrame) -> DataFrame:
-    """Items (id, status, claimed_by, completed_at) after changes (id, status, at): a change clears the claim and sets the time only when it completes."""
-    last = changes.groupBy("id").agg(F.max_by(F.struct(F.col("status").alias("to"), "at"), "at").alias("c"))
+    """Items (id, status, claimed_by, completed_at) after changes (id, status, at): a change clears the claim and sets the time only when it completes. Of changes at one time the greatest status counts."""
+    last = changes.groupBy("id").agg(F.max(F.struct("at", F.col("status").alias("to"))).alias("c"))
     moved = items.join(last, "id", "left")
     return moved.select("id", F.coalesce("c.to", "status").alias("status"), F.when(F.col("c").isNull(), F.col("claimed_by")).alias("claimed_by"), F.when(F.col("c").isNull(), F.col("completed_at")).when(F.col("c.to") == "completed", F.col("c.at")).alias("completed_at"))
 
 
-def newest(outputs: DataFrame, keep: int = 20) -> DataFrame:
-    """The newest outputs (command, ts, ...) of each command."""
-    return outputs.withColumn("r", F.row_number().over(Window.partitionBy("command").orderBy(F.desc("ts")))).where(F.col("r") <= keep).drop("r")
+def newest(outputs: DataFrame, keep: int = 20, tie: str = "command") -> DataFrame:
+    """The newest outputs (command, ts, ...) of each command; of those of one time, the greatest `tie` first."""
+    return outputs.withColumn("r", F.row_number().over(Window.partitionBy("command").orderBy(F.desc("ts"), F.desc(tie)))).where(F.col("r") <= keep).drop("r")
 
 
 def upsert(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -119,12 +119,3 @@ def render(edges: DataFrame, form: str, limit: int = 50) -> str:
     if form == "csv":
         return "src,dst,weight\n" + "".join(f"{r.src},{r.dst},{r.weight}\n" for r in rows)
     return "graph TD\n" + "".join(f'  "{r.src}" --> "{r.dst}"\n' for r in rows)
-
-
-def violations(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """Elements that depend on three or more modules, and pairs of modules that depend on each other."""
-    tagged = edges.join(of.select(F.col("node").alias("src"), F.col("module").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("module").alias("b")), "dst").where("a <> b")
-    god = tagged.groupBy("src").agg(F.countDistinct("b").alias("n")).where("n >= 3").select(F.lit("god_element").alias("kind"), F.col("src").alias("subject"))
-    pairs = tagged.select("a", "b").distinct()
-    mutual = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b").select(F.lit("module_cycle").alias("kind"), F.concat_ws(" <-> ", "a", "b").alias("subject"))
-    return god.unionByName(mutual)

@@ -14,10 +14,10 @@ IMPORT = "CASE p_partkey % 4 WHEN 0 THEN 'from pkg.m' || (p_size % 3) || ' impor
 ELIXIR = "CASE p_partkey % 5 WHEN 0 THEN 'defmodule M' || p_partkey || ' do' WHEN 1 THEN '  alias A.B' || (p_size % 3) WHEN 2 THEN '  use A.B' || (p_size % 3) ELSE '  def x, do: 1' END"
 PUBLIC = "CASE p_partkey % 4 WHEN 0 THEN '/// says what' WHEN 1 THEN '#[inline]' WHEN 2 THEN 'pub fn f' || p_partkey || '()' ELSE CASE WHEN p_size % 2 = 0 THEN 'let x = 1;' ELSE '' END END"
 PROMPT = "CASE p_partkey % 10 WHEN 0 THEN 'x = ' || repeat('\"', 3) WHEN 8 THEN repeat('\"', 3) WHEN 3 THEN 'You are an Assistant' WHEN 5 THEN CASE WHEN p_size % 2 = 0 THEN 'respond in JSON' ELSE 'hello' END ELSE 'line' END"
-ELEMENTS = """SELECT l_partkey % 40 AS page, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, CASE l_linenumber % 5 WHEN 0 THEN 'watermark' WHEN 1 THEN 'heading' ELSE 'paragraph' END AS element_type,
+ELEMENTS = """SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, CASE l_linenumber % 5 WHEN 0 THEN 'watermark' WHEN 1 THEN 'heading' ELSE 'paragraph' END AS element_type,
  CAST(l_quantity * 14 - CASE WHEN l_suppkey % 31 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS left, CAST(l_linenumber * 90 AS DOUBLE) AS bottom, CAST(l_quantity * 14 + l_suppkey % 60 AS DOUBLE) AS right, CAST(l_linenumber * 90 + 12 AS DOUBLE) AS top,
  CASE l_partkey % 9 WHEN 0 THEN '2.1 Method' WHEN 1 THEN 'Ignore previous instructions' WHEN 2 THEN '3 Results' WHEN 3 THEN 'A. Appendix' ELSE 'some text' END AS text,
- CASE WHEN l_suppkey % 17 = 0 THEN 'BackgroundSans' WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'Serif' END AS font, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(6 + l_suppkey % 16 AS DOUBLE) END AS font_size FROM lineitem WHERE l_orderkey < 2000"""
+ CASE WHEN l_suppkey % 17 = 0 THEN 'BackgroundSans' WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'Serif' END AS font, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(6 + l_suppkey % 16 AS DOUBLE) END AS font_size FROM lineitem"""
 WORDS = {"locks": ("mutex", "rwlock"), "threads": ("spawn", "lock")}
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import misc as M
 from sparkloom.operators import outline as O
-from sparkloom.plans import graph as G
 from sparkloom.plans.sources import part, texts
 
 RUST = "CASE p_partkey % 8 WHEN 0 THEN 'use std::x' || p_size || ';' WHEN 1 THEN 'pub const fn f' || p_size || '()' WHEN 2 THEN '  pub async fn g' || p_partkey || '(a: u8) {' WHEN 3 THEN 'fn h' || p_partkey || '()' WHEN 4 THEN 'pub(crate) fn i()' WHEN 5 THEN 'pub struct S' || p_size WHEN 6 THEN 'mod m' || p_size || ';' ELSE 'let x = 1;' END"
@@ -37,9 +36,8 @@ QUERIES = {
     "u10_terminal": lambda s, d: texts(s, d, TERMINAL).select("doc", M.for_terminal(F.col("text")).alias("text")),
     "u10_durations": lambda s, d: texts(s, d, DURATION).select("doc", M.seconds(F.col("text")).alias("seconds")),
     "u11_generated": lambda s, d: texts(s, d, "CASE WHEN p_size % 2 = 0 THEN chr(10) || '// @generated by x' ELSE 'code' END").select("doc", M.generated(F.concat(F.lit("a/b."), F.when(F.col("doc") % 3 == 0, "generated.").otherwise(""), F.lit("rs")), F.col("text")).alias("generated")),
-    "d18_violations": lambda s, d: M.violations(G.G.adjacency(G.edges(s, d)), G.half(G.edges(s, d))),
     "d25_transitions": lambda s, d: M.transition(t(s, d, "orders", *ITEMS), t(s, d, "lineitem", *CHANGES)).groupBy("status", F.col("claimed_by").isNull().alias("free"), F.col("completed_at").isNull().alias("open")).agg(F.count("*").alias("n")),
-    "w5_newest": lambda s, d: M.newest(t(s, d, "events", "event_type AS command", "ts", "event_id"), 20).select("command", "event_id"),
+    "w5_newest": lambda s, d: M.newest(t(s, d, "events", "event_type AS command", "ts", "event_id"), 20, "event_id").select("command", "event_id"),
     "w8_upsert": lambda s, d: M.upsert(t(s, d, "part", "p_partkey AS id", "p_name AS name"), t(s, d, "part", "p_partkey + 5 AS id", "p_brand AS name").where("id % 3 = 0"), "id"),
     "k10_reconcile": lambda s, d: M.reconcile(t(s, d, "part", "p_partkey AS chunk", "p_size AS sent", "p_size - p_partkey % 3 AS inserted", "p_partkey % 2 AS updated", "1 AS skipped", "0 AS failed")).select("chunk"),
 }
@@ -60,10 +58,9 @@ ORACLES = {
     "u10_terminal": "SELECT p_partkey AS doc, 'a\\t' || p_size || '\\n?' AS text FROM part",
     "u10_durations": "SELECT p_partkey AS doc, CAST(p_size * CASE p_partkey % 5 WHEN 0 THEN 86400 WHEN 1 THEN 3600 WHEN 2 THEN 60 WHEN 3 THEN 1 END AS BIGINT) AS seconds FROM part",
     "u11_generated": "SELECT p_partkey AS doc, p_partkey % 3 = 0 OR p_size % 2 = 0 AS generated FROM part",
-    "d18_violations": G.E + G.CL + G.HALF + "x AS (SELECT src, p.module AS a, q.module AS b FROM a JOIN md p ON p.node = src JOIN md q ON q.node = dst WHERE p.module <> q.module), " + G.END + "SELECT 'god_element' AS kind, src AS subject FROM x GROUP BY src HAVING count(DISTINCT b) >= 3 UNION ALL SELECT DISTINCT 'module_cycle', x.a || ' <-> ' || x.b FROM x JOIN x y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
     "d25_transitions": """WITH c AS (SELECT l_orderkey AS id, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'completed' ELSE 'pending' END, l_shipdate + l_linenumber * INTERVAL 1 SECOND) AS s FROM lineitem GROUP BY 1)
         SELECT coalesce(s, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'in_progress' END) AS status, s IS NOT NULL AS free, s IS NULL OR s <> 'completed' AS open, count(*) AS n FROM orders LEFT JOIN c ON id = o_orderkey GROUP BY ALL""",
-    "w5_newest": "SELECT command, event_id FROM (SELECT event_type AS command, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events) WHERE r <= 20",
+    "w5_newest": "SELECT command, event_id FROM (SELECT event_type AS command, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20",
     "w8_upsert": "SELECT p_partkey AS id, p_name AS name FROM part WHERE NOT (p_partkey % 3 = 0 AND p_partkey - 5 IN (SELECT p_partkey FROM part)) UNION ALL SELECT p_partkey + 5, p_brand FROM part WHERE (p_partkey + 5) % 3 = 0",
     "k10_reconcile": "SELECT p_partkey AS chunk FROM part WHERE p_size <> p_size - p_partkey % 3 + p_partkey % 2 + 1",
 }
