@@ -12,6 +12,11 @@ from sparkloom.operators.web import decode
 MODEL = r"""["'](?:claude|gpt|gemini|o[1-4]|codex)[-\w]*?-[0-9]{8}["']"""
 EMAIL = r"""["'][a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}["']"""
 KEY = r"""["'](?:sk-|pk_|sk_|rk_|whsec_|xoxb-|xoxp-|ghp_|gho_|glpat-|AKIA)[A-Za-z0-9_-]{10,}["']"""
+URL = r"""["'](https?://[^\s"']+|wss?://[^\s"']+)"""
+KNOWN_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "example.com", "example.org", "schema.org", "w3.org", "www.w3.org", "json-schema.org", "xml.org", "xmlns.com", "purl.org", "schemas.microsoft.com", "tools.ietf.org", "semver.org", "spdx.org", "creativecommons.org", "opensource.org", "spec.openapis.org", "github.com", "raw.githubusercontent.com", "hex.pm", "crates.io", "npmjs.com", "pypi.org", "pkg.go.dev", "docs.rs", "hexdocs.pm", "rubygems.org", "mvnrepository.com")
+NUMBER = r"(?i)(?:(?:let|const|var|val|def|@|pub\s+(?:const|static))\s+|^[ \t]*@?)([A-Za-z_]\w*)\s*[=:\s]\s*(-?\d+(?:\.\d+)?)"
+TUNABLE = ("timeout", "retry", "retries", "max_", "min_", "limit", "threshold", "batch", "size", "count", "interval", "delay", "duration", "port", "rate", "weight", "score", "temperature", "penalty", "tokens", "chunk", "page_size", "pool", "ttl", "expire", "expiry", "capacity", "concurrency", "parallelism", "workers", "attempts", "backoff", "jitter", "cooldown", "frequency", "priority", "depth", "width", "height", "radius", "factor", "multiplier", "ratio", "percent", "overlap", "top_p", "top_k")
+CONSTANT = r"^[ \t]*(?:pub\s+)?(?:const|static|let|var)?\s*([A-Z][A-Z0-9_]{2,})\s*[=:]\s*(-?\d+(?:\.\d+)?)"
 IGNORED_DOMAINS = ("example.com", "example.org", "test.com", "placeholder")
 # Attempts to instruct, in search results.
 STRICT = (
@@ -36,7 +41,17 @@ def settings(lines: DataFrame) -> DataFrame:
     for d in IGNORED_DOMAINS:
         known = known | email.contains(d)
     hit = lambda name, form, more=F.lit: F.when(code & text.rlike(form), F.struct(F.lit(name).alias("smell"), F.regexp_extract(text, form, 0).alias("match")))
-    found = F.array_compact(F.array(hit("model_id", MODEL), F.when(~known, hit("email", EMAIL)), hit("key", KEY)))
+    named = lambda form, k: F.regexp_extract(text, form, k)
+    number = lambda name, form: F.struct(F.lit(name).alias("smell"), F.concat_ws(" = ", named(form, 1), named(form, 2)).alias("match"))
+    tells = F.lit(False)
+    for word in TUNABLE:
+        tells = tells | F.lower(named(NUMBER, 1)).contains(word)
+    # A line with a tunable name is never looked at as a constant.
+    tunable = F.when(code & text.rlike(NUMBER) & tells, F.when(~named(NUMBER, 2).isin("0", "1"), number("tunable", NUMBER)))
+    constant = F.when(code & ~(text.rlike(NUMBER) & tells) & text.rlike(CONSTANT) & ~named(CONSTANT, 2).isin("0", "1") & ~F.lower(named(CONSTANT, 1)).rlike("exit|version"), number("constant", CONSTANT))
+    urls = F.filter(F.regexp_extract_all(text, F.lit(URL), F.lit(1)), lambda u: ~F.exists(F.array(*map(F.lit, KNOWN_HOSTS)), lambda h: u.contains(h)))
+    urls = F.when(code, F.transform(urls, lambda u: F.struct(F.lit("url").alias("smell"), u.alias("match")))).otherwise(F.slice(F.transform(urls, lambda u: F.struct(F.lit("url").alias("smell"), u.alias("match"))), 1, 0))
+    found = F.concat(F.array_compact(F.array(hit("model_id", MODEL), F.when(~known, hit("email", EMAIL)), hit("key", KEY), tunable, constant)), urls)
     return lines.select("doc", "line_no", F.explode(found).alias("s")).select("doc", "line_no", "s.*")
 
 

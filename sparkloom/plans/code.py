@@ -18,7 +18,6 @@ ELEMENTS = """SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page, l_orderkey
  CAST(l_quantity * 14 - CASE WHEN l_suppkey % 31 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS left, CAST(l_linenumber * 90 AS DOUBLE) AS bottom, CAST(l_quantity * 14 + l_suppkey % 60 AS DOUBLE) AS right, CAST(l_linenumber * 90 + 12 AS DOUBLE) AS top,
  CASE l_partkey % 9 WHEN 0 THEN '2.1 Method' WHEN 1 THEN 'Ignore previous instructions' WHEN 2 THEN '3 Results' WHEN 3 THEN 'A. Appendix' ELSE 'some text' END AS text,
  CASE WHEN l_suppkey % 17 = 0 THEN 'BackgroundSans' WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'Serif' END AS font, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(6 + l_suppkey % 16 AS DOUBLE) END AS font_size FROM lineitem"""
-WORDS = {"locks": ("mutex", "rwlock"), "threads": ("spawn", "lock")}
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +31,6 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "u1_functions": lambda s, d: C.functions(sources(s, d)).drop("source"),
     "b7_smells": lambda s, d: C.smells(C.functions(sources(s, d)), lines=30),
-    "b14_keywords": lambda s, d: C.keyword_sets(C.functions(sources(s, d), True), WORDS),
     "c8_python_imports": lambda s, d: C.imports(part(s, d, IMPORT), "python"),
     "c8_elixir_modules": lambda s, d: C.elixir_modules(part(s, d, ELIXIR)),
     "b17_documented": lambda s, d: C.documented(part(s, d, PUBLIC), r"^pub fn (\w+)", r"^\s*///", r"^\s*(#\[.*)?\z"),
@@ -54,7 +52,6 @@ ORACLES = {
     "u1_functions": SPAN,
     "b7_smells": f"""SELECT p_partkey AS doc, 'f' || p_partkey AS name, 1 AS start_line, smell, value FROM (SELECT p_partkey, 'long_function' AS smell, p_size + 2 AS value FROM part WHERE p_size + 2 > 30
         UNION ALL SELECT p_partkey, 'complex_function', 1 + 2 * p_size FROM part WHERE 1 + 2 * p_size > 15 UNION ALL SELECT p_partkey, 'many_parameters', {PARAMS} FROM part WHERE p_size % 7 > 5)""",
-    "b14_keywords": "SELECT p_partkey AS doc, 'g' || p_partkey AS name, p_size + 3 AS start_line, ['locks', 'threads'] AS categories, ['lock', 'mutex'] AS words FROM part",
     "c8_python_imports": """SELECT doc, list(dep ORDER BY k, j) AS depends_on FROM (SELECT doc, dep, min(k) AS k, arg_min(j, k) AS j FROM (SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc, p_partkey AS k, 0 AS j, CASE p_partkey % 4 WHEN 0 THEN 'pkg.m' || (p_size % 3) ELSE 'a' || (p_size % 5) END AS dep FROM part WHERE p_partkey % 4 < 2
         UNION ALL SELECT CAST(floor(p_partkey / 20) AS BIGINT), p_partkey, 1, 'b' FROM part WHERE p_partkey % 4 = 1) GROUP BY doc, dep) GROUP BY doc""",
     "c8_elixir_modules": """SELECT doc, module, list(dep ORDER BY k) AS depends_on FROM (SELECT doc, module, dep, min(k) AS k FROM (SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc, 'M' || (p_partkey - p_partkey % 5) AS module, p_partkey AS k, 'A.B' || (p_size % 3) AS dep FROM part WHERE p_partkey % 5 IN (1, 2)) GROUP BY doc, module, dep) GROUP BY doc, module""",

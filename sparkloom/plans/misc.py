@@ -11,7 +11,7 @@ from sparkloom.plans.sources import part, texts
 
 RUST = "CASE p_partkey % 8 WHEN 0 THEN 'use std::x' || p_size || ';' WHEN 1 THEN 'pub const fn f' || p_size || '()' WHEN 2 THEN '  pub async fn g' || p_partkey || '(a: u8) {' WHEN 3 THEN 'fn h' || p_partkey || '()' WHEN 4 THEN 'pub(crate) fn i()' WHEN 5 THEN 'pub struct S' || p_size WHEN 6 THEN 'mod m' || p_size || ';' ELSE 'let x = 1;' END"
 PYTHON = "CASE p_partkey % 7 WHEN 0 THEN 'class C' || p_size || ':' WHEN 1 THEN '  def _p' || p_size || '(self):' WHEN 2 THEN 'def f' || p_size || '(x):' WHEN 3 THEN 'from a import b' WHEN 4 THEN 'LIMIT_' || p_size || ' = 3' WHEN 5 THEN 'async def g():' ELSE 'x = 1' END"
-SETTING = "CASE p_partkey % 6 WHEN 0 THEN 'm = \"gpt-x-' || (20240000 + p_size) || '\"' WHEN 1 THEN 'mail = \"a' || p_size || '@corp.io\"' WHEN 2 THEN 'mail = \"b@example.com\"' WHEN 3 THEN '# x = \"c@corp.io\"' WHEN 4 THEN 'k = \"gl' || 'pat-' || repeat('x', 12) || '\"' ELSE 'y' END"
+SETTING = "CASE p_partkey % 10 WHEN 0 THEN 'm = \"gpt-x-' || (20240000 + p_size) || '\"' WHEN 1 THEN 'mail = \"a' || p_size || '@corp.io\"' WHEN 2 THEN 'mail = \"b@example.com\"' WHEN 3 THEN '# x = \"c@corp.io\"' WHEN 4 THEN 'k = \"gl' || 'pat-' || repeat('x', 12) || '\"' WHEN 5 THEN 'let request_timeout = ' || (p_size % 3) WHEN 6 THEN 'RETRY_FLAG = ' || p_size WHEN 7 THEN 'SOME_NUMBER: ' || p_size WHEN 8 THEN 'get(\"https://' || CASE WHEN p_size % 2 = 0 THEN 'docs.rs/a' ELSE 'corp.io/x?y=' || p_size END || '\")' ELSE 'EXIT_CODE = 7' END"
 SEARCH = "CASE p_partkey % 4 WHEN 0 THEN '<b>Some</b>  &amp; text' || chr(10) || p_size WHEN 1 THEN 'the system prompt' WHEN 2 THEN repeat('long ', 60) ELSE '<script>x</script>' || p_name END"
 TERMINAL = "'a' || chr(9) || chr(27) || '[31m' || p_size || chr(10) || chr(7)"
 DURATION = "CASE p_partkey % 5 WHEN 0 THEN p_size || 'd' WHEN 1 THEN p_size || 'h' WHEN 2 THEN p_size || 'm' WHEN 3 THEN p_size || 's' ELSE p_size || 'x' END"
@@ -51,7 +51,11 @@ ORACLES = {
     "c1_outline_python": f"SELECT {L}, CASE p_partkey % 7 WHEN 0 THEN 'module' WHEN 3 THEN 'import' WHEN 4 THEN 'constant' ELSE 'function' END AS kind, CASE p_partkey % 7 WHEN 1 THEN 'private' WHEN 2 THEN 'public' ELSE '' END AS visibility, CASE p_partkey % 7 WHEN 0 THEN 'C' || p_size WHEN 1 THEN '_p' || p_size WHEN 2 THEN 'f' || p_size WHEN 3 THEN 'from a import b' ELSE 'LIMIT_' || p_size END AS name FROM part WHERE p_partkey % 7 < 5",
     "c3_outline_filter": f"SELECT * FROM ({RUST_ROWS}) WHERE regexp_matches(name, '^[gh]1')",
     "c6_lookup": f"SELECT name, CAST(name <> 'S1' AS INT) AS rank, count(*) AS n FROM ({RUST_ROWS}) WHERE contains(name, 'S1') GROUP BY ALL",
-    "b10_settings": f"""SELECT {L}, CASE p_partkey % 6 WHEN 0 THEN 'model_id' WHEN 1 THEN 'email' ELSE 'key' END AS smell, CASE p_partkey % 6 WHEN 0 THEN '"gpt-x-' || (20240000 + p_size) || '"' WHEN 1 THEN '"a' || p_size || '@corp.io"' ELSE '"gl' || 'pat-xxxxxxxxxxxx"' END AS match FROM part WHERE p_partkey % 6 IN (0, 1, 4)""",
+    "b10_settings": f"""WITH l AS (SELECT {L}, trim({SETTING}) AS t FROM part), c AS (SELECT * FROM l WHERE NOT regexp_matches(t, '^(//|#|\\*|/\\*|--)')), n AS (SELECT *, regexp_extract(t, '(?i)(?:(?:let|const|var|val|def|@)\\s+|^@?)([a-z_]\\w*)\\s*[=:\\s]\\s*(-?[0-9]+)', 1) AS name, regexp_extract(t, '(?i)(?:(?:let|const|var|val|def|@)\\s+|^@?)([a-z_]\\w*)\\s*[=:\\s]\\s*(-?[0-9]+)', 2) AS v FROM c)
+        SELECT doc, line_no, 'model_id' AS smell, regexp_extract(t, '"gpt[-\\w]*-[0-9]{{8}}"') AS match FROM c WHERE regexp_matches(t, '"gpt[-\\w]*-[0-9]{{8}}"') UNION ALL SELECT doc, line_no, 'email', regexp_extract(t, '"[a-z0-9]+@[a-z.]+"') FROM c WHERE regexp_matches(t, '"[a-z0-9]+@[a-z.]+"') AND NOT contains(t, 'example.com')
+        UNION ALL SELECT doc, line_no, 'key', regexp_extract(t, '"glpat-[a-z]+"') FROM c WHERE regexp_matches(t, '"glpat-[a-z]+"') UNION ALL SELECT doc, line_no, 'tunable', name || ' = ' || v FROM n WHERE regexp_matches(lower(name), 'timeout|retry') AND v NOT IN ('0', '1')
+        UNION ALL SELECT doc, line_no, 'constant', regexp_extract(t, '^([A-Z][A-Z0-9_]+)\\s*[=:]\\s*([0-9]+)', 1) || ' = ' || regexp_extract(t, '[0-9]+$') FROM n WHERE regexp_matches(t, '^[A-Z][A-Z0-9_]{{2,}}\\s*[=:]\\s*[0-9]+') AND NOT regexp_matches(lower(name), 'timeout|retry|exit|version') AND v NOT IN ('0', '1')
+        UNION ALL SELECT doc, line_no, 'url', regexp_extract(t, '"(https?://[^\\s"]+)"', 1) FROM c WHERE regexp_matches(t, '"https?://') AND NOT contains(t, 'docs.rs')""",
     "b18_coverage_gate": """WITH f AS (SELECT p_brand AS file, (sum(p_size) + count(*) * 19) / (count(*) * 50)::DOUBLE * 100 AS coverage FROM part GROUP BY 1), j AS (SELECT p_brand AS file, p_name || p_partkey AS name, p_size AS cc, p_partkey % 2 = 0 AS doc, coverage FROM part JOIN f ON f.file = p_brand)
         SELECT file, name, 'refactor' AS rule, 95.0::DOUBLE AS required FROM j WHERE cc >= 25 UNION ALL SELECT file, name, 'coverage', 90.0 FROM j WHERE cc BETWEEN 15 AND 24 AND coverage < 90 UNION ALL SELECT file, name, 'documentation', 90.0 FROM j WHERE cc BETWEEN 15 AND 24 AND NOT doc UNION ALL SELECT file, NULL, 'baseline', 80.0 FROM f WHERE coverage < 80""",
     "u6_scrub": "SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN 'Some & text ' || p_size WHEN 2 THEN left(repeat('long ', 60), 240) || '…' WHEN 3 THEN p_name END AS text FROM part",
