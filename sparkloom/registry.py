@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import explode_lines
 from sparkloom.operators import logs
 
-FAMILIES = ("usage", "logs", "scan", "graph", "web", "texts", "sources", "streams", "code", "documents", "misc", "diagrams", "extract", "collected")
+FAMILIES = ("usage", "logs", "scan", "graph", "web", "texts", "sources", "streams", "code", "documents", "misc", "diagrams", "extract", "collected", "workspaces")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in FAMILIES:

@@ -59,6 +59,19 @@ def mix_lock(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(form)).select("doc", F.lit("elixir").alias("ecosystem"), F.regexp_extract("line", form, 1).alias("name"), F.regexp_extract("line", form, 2).alias("version"))
 
 
+def nuget_lock(texts: DataFrame) -> DataFrame:
+    """Distinct packages of a NuGet lock file, over its frameworks."""
+    kinds = "map<string,map<string,struct<resolved:string>>>"
+    rows = texts.select("doc", F.explode(F.from_json(F.get_json_object("text", "$.dependencies"), kinds)).alias("framework", "p"))
+    return rows.select("doc", F.explode("p").alias("name", "v")).where("v.resolved is not null").select("doc", F.lit("dotnet").alias("ecosystem"), "name", F.col("v.resolved").alias("version")).distinct()
+
+
+def json_edges(texts: DataFrame) -> DataFrame:
+    """Edges of a JSON array of {source, target[, weight]}, without those of a node to itself; the weight is 1 unless given."""
+    rows = texts.select("doc", F.explode(F.from_json("text", "array<struct<source:string,target:string,weight:double>>")).alias("e"))
+    return rows.select("doc", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.coalesce("e.weight", F.lit(1.0)).alias("weight")).where("src <> dst")
+
+
 def package_lock(texts: DataFrame) -> DataFrame:
     """Packages of an npm lock file of version 2 or 3, by their path below node_modules."""
     rows = texts.select("doc", F.explode(F.from_json(F.get_json_object("text", "$.packages"), "map<string,struct<version:string>>")).alias("path", "p")).where("path <> '' and p.version is not null")
