@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{base_dir(df.sparkSession)}/sparkloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete everything that `cut` has written in the shared folder: for callers who have written or read their results."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/sparkloom")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -102,11 +102,16 @@ ADVISORIES = (
 DEBT = r"(?:^|\s|//|#|--|/\*|\*|;|<!--)\b(TODO|FIXME|HACK|XXX|BUG|NOTE|OPTIMIZE|DEPRECATED)\b[:\s]*(.*)"
 AUDIT = r"(?i)\b(audit|log|logger|tracing|slog)\b"
 
-# Elements that a page hides.
-HIDDEN = tuple(
-    ("style", rf"""(?is)<[^>]+style\s*=\s*["'][^"']*{css}[^"']*["'][^>]*>.*?</[^>]+>""")
-    for css in (r"display\s*:\s*none", r"visibility\s*:\s*hidden", r"opacity\s*:\s*0", r"font-size\s*:\s*0", r"position\s*:\s*absolute[^\"']*left\s*:\s*-[0-9]+")
-) + (("aria", r"""(?is)<[^>]+aria-hidden\s*=\s*["']true["'][^>]*>.*?</[^>]+>"""), ("attribute", r"(?is)<[^>]+hidden\b[^>]*>.*?</[^>]+>"))
+# Elements that a page hides, each with a word (in lower case) without which it cannot match.
+HIDDEN = (
+    ("display", r"""(?is)<[^>]+style\s*=\s*["'][^"']*display\s*:\s*none[^"']*["'][^>]*>.*?</[^>]+>"""),
+    ("visibility", r"""(?is)<[^>]+style\s*=\s*["'][^"']*visibility\s*:\s*hidden[^"']*["'][^>]*>.*?</[^>]+>"""),
+    ("opacity", r"""(?is)<[^>]+style\s*=\s*["'][^"']*opacity\s*:\s*0[^"']*["'][^>]*>.*?</[^>]+>"""),
+    ("font-size", r"""(?is)<[^>]+style\s*=\s*["'][^"']*font-size\s*:\s*0[^"']*["'][^>]*>.*?</[^>]+>"""),
+    ("position", r"""(?is)<[^>]+style\s*=\s*["'][^"']*position\s*:\s*absolute[^"']*left\s*:\s*-[0-9]+[^"']*["'][^>]*>.*?</[^>]+>"""),
+    ("aria-hidden", r"""(?is)<[^>]+aria-hidden\s*=\s*["']true["'][^>]*>.*?</[^>]+>"""),
+    ("hidden", r"(?is)<[^>]+hidden\b[^>]*>.*?</[^>]+>"),
+)
 COMMENT = r"(?s)<!--.*?-->"
 #: Characters that do not show: zero width, direction, tags, annotations.
 SUSPICIOUS = r"[\x{200B}-\x{200D}\x{FEFF}\x{2060}\x{00AD}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0001}-\x{E007F}\x{FFF9}-\x{FFFC}]"
@@ -131,5 +136,12 @@ INJECTIONS = (
     r"(?i)(curl|wget|fetch)\s+https?://",
     r"(?i)do\s+anything\s+now|DAN\s+mode|jailbreak|bypass\s+(safety|filter|restriction)",
 )
+#: Words (in lower case) one of which a text must have for the pattern of INJECTIONS in the same place to match.
+INJECTION_WORDS = (
+    ("ignore",), ("disregard",), ("forget",), ("you",), ("pretend",), ("act",), ("switch",), ("output", "print", "show", "display", "reveal", "repeat"), ("what",), ("<",), ("[inst]", "[/inst]", "<<sys>>", "<</sys>>"),
+    ("execute",), ("run",), ("send",), ("curl", "wget", "fetch"), ("anything", "dan", "jailbreak", "bypass"),
+)
+#: The same for REDACTIONS.
+REDACTION_WORDS = (("akia",), ("api", "secret", "token", "password"), ("sk-",), ("sk-ant-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("private key-----",), ("eyj",), ("xox",))
 #: Parts of the names of query parameters that hold secrets.
 SENSITIVE = ("token", "key", "secret", "password", "auth", "api_key", "apikey", "access_token")

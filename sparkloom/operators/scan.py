@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,21 @@ def threats(lines: DataFrame, confidence: str = "medium") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """`text` with credentials replaced, one kind after the other, and how many were."""
     out = df.withColumn("redactions", F.lit(0))
-    for label, pattern in R.REDACTIONS:
-        out = out.withColumns({"redactions": F.col("redactions") + F.regexp_count(F.col(text), F.lit(pattern)), text: F.regexp_replace(text, pattern, f"<REDACTED:{label}>")})
+    for (label, pattern), words in zip(R.REDACTIONS, R.REDACTION_WORDS):
+        out = counted_replace(out, text, "redactions", pattern, f"<REDACTED:{label}>", words)
     return out
 
 
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def counted_replace(df: DataFrame, text: str, count: str, pattern: str, to: str, words: tuple[str, ...]) -> DataFrame:
+    """`pattern` replaced and what went added to `count`; texts without any of the words (in lower case) are not searched."""
+    may = has_any(F.lower(text), words)
+    return df.withColumns({count: F.col(count) + F.when(may, F.regexp_count(F.col(text), F.lit(pattern))).otherwise(0), text: F.when(may, F.regexp_replace(text, pattern, to)).otherwise(F.col(text))})
+
+
 def excluded(path: Column) -> Column:
     """Why a file's notes are no debt; null if they may be."""
     norm = F.regexp_replace(path, r"\\", "/")
@@ -83,16 +95,17 @@ def sanitize(df: DataFrame, text: str = "text", limit: int = 5000) -> DataFrame:
     from sparkloom.functions.text import truncate_utf8
 
     out = df.withColumn("hidden", F.lit(0))
-    for _, pattern in R.HIDDEN:
-        out = out.withColumns({"hidden": F.col("hidden") + F.regexp_count(F.col(text), F.lit(pattern)), text: F.regexp_replace(text, pattern, "")})
+    for word, pattern in R.HIDDEN:
+        out = counted_replace(out, text, "hidden", pattern, "", (word,))
     out = out.withColumn(text, F.regexp_replace(text, R.COMMENT, ""))
     out = out.withColumns({"invisible": F.regexp_count(F.col(text), F.lit(R.SUSPICIOUS)), text: F.regexp_replace(text, R.SUSPICIOUS, "")})
+    out = out.withColumn("sanitize_lower", F.lower(text))
     blocked = F.lit(False)
-    for pattern in R.INJECTIONS:
-        blocked = blocked | F.col(text).rlike(pattern)
+    for pattern, words in zip(R.INJECTIONS, R.INJECTION_WORDS):
+        blocked = blocked | (has_any(F.col("sanitize_lower"), words) & F.col(text).rlike(pattern))
     out = out.withColumns({"blocked": blocked, "encoded": F.regexp_count(F.col(text), F.lit(R.BASE64)), text: F.regexp_replace(text, R.BASE64, "[base64-removed]")})
     out = out.withColumns({"encoded": F.col("encoded") + F.regexp_count(F.col(text), F.lit(R.DATA_URI)), text: F.regexp_replace(text, R.DATA_URI, "[data-uri-removed]")})
-    return out.withColumns({"truncated": F.octet_length(text) > limit, text: truncate_utf8(F.col(text), limit)})
+    return out.withColumns({"truncated": F.octet_length(text) > limit, text: truncate_utf8(F.col(text), limit)}).drop("sanitize_lower")
 
 
 def without_secrets(url: Column) -> Column:

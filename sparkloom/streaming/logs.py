@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
+#: Milliseconds of event time without a row after which the state of a key is dropped.
+IDLE_MS = 24 * 60 * 60 * 1000
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,11 +38,19 @@ def sessions(stream: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def stalls(stream: DataFrame, threshold: int = 5) -> DataFrame:
-    """The first row of each key (doc, ts, seq, line) at which an equal line has come `threshold` times in a row."""
+    """The first row of each key (doc, ts, seq, line) at which an equal line has come `threshold` times in a row.
+
+    Rows are taken batch by batch, in the order of time and number within a batch; a row that comes later than its place counts
+    where it arrives, and one later than LATE not at all. A key without a row for IDLE_MS of event time is forgotten, and begins
+    anew.
+    """
 
     def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         line, length, told = state.get if state.exists else ("", 0, False)
         found = []
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
@@ -54,9 +64,10 @@ def stalls(stream: DataFrame, threshold: int = 5) -> DataFrame:
                 told = True
                 found.append((key[0], seq, text))
         state.update((line, length, told))
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + IDLE_MS)
         yield pd.DataFrame(found, columns=["doc", "seq", "line"])
 
-    return stream.groupBy("doc").applyInPandasWithState(run, "doc long, seq long, line string", "line string, length int, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", LATE).groupBy("doc").applyInPandasWithState(run, "doc long, seq long, line string", "line string, length int, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(result: DataFrame, path: str, mode: str) -> DataFrame:
