@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
-import types
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -73,12 +71,15 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+#: What this Python process keeps over tasks, by name; a worker that is used again finds it here.
+_KEPT: dict[str, Any] = {}
+
+
 def kept_in_process(name: str, make: Callable[[], Any]) -> Any:
-    """What `make` returned when this Python process first asked for `name`: a worker that is used again keeps it."""
-    store = sys.modules.setdefault("_sparkloom_process", types.ModuleType("_sparkloom_process")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    """What `make` returned when this process first asked for `name`."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def fresh(taken: list[str], stem: str) -> str:
