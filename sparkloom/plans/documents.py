@@ -44,7 +44,7 @@ QUERIES = {
     "b22_descriptions": lambda s, d: rows(s, d, DESCRIPTION).select("doc", D.description(F.col("text"), 20).alias("text")),
     "u8_authors": lambda s, d: rows(s, d, NAME).select("doc", D.author(F.col("text")).alias("name")),
     "k7_paper_facts": lambda s, d: rows(s, d, FACTS).select("doc", *(v.alias(k) for k, v in D.paper_facts(F.col("text")).items())),
-    "k9_chunks": lambda s, d: D.chunks(s.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 9).alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice")).alias("bytes"))).groupBy("batch", "chunk").agg(F.count("*").alias("n")),
+    "k9_chunks": lambda s, d: D.chunks(s.read.parquet(f"{d}/orders.parquet").select(F.floor(F.col("o_orderkey") / 1000).alias("batch"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice")).alias("bytes"))).groupBy("batch", "chunk").agg(F.count("*").alias("n")),
     "k9_edge_chunks": lambda s, d: edge_chunks(s.read.parquet(f"{d}/lineitem.parquet")),
     "k21_remapped": lambda s, d: D.remapped(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 100000).alias("new")).where("old % 2 = 0")),
     "a27_routes": lambda s, d: rows(s, d, COMMAND).select("doc", R.route(F.col("text")).alias("filter")),
@@ -63,7 +63,7 @@ ORACLES = {
     "b22_descriptions": "SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 2 THEN 'a bc d' WHEN 3 THEN rtrim(repeat('w ', least(20, p_size))) END AS text FROM part",
     "u8_authors": "SELECT p_partkey AS doc, CASE WHEN p_partkey % 2 = 0 THEN 'First Last' || p_size ELSE 'Plain Name' END AS name FROM part",
     "k7_paper_facts": "SELECT p_partkey AS doc, CASE WHEN p_partkey % 3 = 0 THEN 1950 + p_size END AS year, CASE WHEN p_partkey % 3 = 0 THEN '10.1234/abc.' || p_size END AS doi, CASE WHEN p_partkey % 3 = 1 THEN '2101.0' || (1000 + p_size) END AS arxiv FROM part",
-    "k9_edge_chunks": "SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst, greatest(l_suppkey % 7, l_partkey % 100 % 7) AS chunk FROM lineitem WHERE l_suppkey BETWEEN 0 AND 99",
+    "k9_edge_chunks": "SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst, greatest(l_suppkey % 7, l_partkey % 100 % 7) AS chunk FROM lineitem",
     "k21_remapped": "SELECT CASE WHEN src % 2 = 0 AND src IN (SELECT p_partkey FROM part) THEN src + 100000 ELSE src END AS src, CASE WHEN dst % 2 = 0 AND dst IN (SELECT p_partkey FROM part) THEN dst + 100000 ELSE dst END AS dst FROM (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)",
     "a27_routes": f"SELECT p_partkey AS doc, {ROUTE.replace(chr(39) + 'log-distill' + chr(39) + ' ELSE', chr(39) + 'test-summary' + chr(39) + ' ELSE')} AS filter FROM part",
     "c13_languages": f"""SELECT project, list_sort(list(DISTINCT l)) AS languages, coalesce(list_sort(list(DISTINCT b) FILTER (b IS NOT NULL)), []) AS builds, coalesce(list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)), []) AS runners FROM (
