@@ -8,11 +8,12 @@ similarity 0.8 share one with probability 0.99997. With the key goes one bit of
 two texts is estimated within 0.05.
 
 In a group of equal keys the first text leads: those that may be similar to it (estimate of LOOSE or more, four
-deviations below 0.8) are candidates, and those that surely are (TIGHT) need no other leader; the rest goes on with the
-next leader. So a large group of copies gives a pair a member, not all pairs. That is done in each slice of documents
-first: of a group, however large, a slice sends its leaders only.
+deviations below 0.8) are its candidates, and those that surely are (TIGHT) need no other leader; the rest goes on with the
+next leader. Of all its leaders a text keeps the nearest, so a large group of copies gives a pair a member, not all
+pairs. That is done in each slice of documents first: of a group, however large, a slice sends its leaders only.
 
-Candidates are verified on whole texts, first one a text, then those whose ends are still in different components.
+Candidates are verified on whole texts. Then texts that had a candidate are put in groups again, now with their
+components, and are tried with all leaders of other components, until no new link is found.
 
 Defined cases: null text counts as empty; a text of fewer than five words is one shingle of them all; rows equal
 throughout count as one text; an empty table gives no rows; texts of any length are read whole.
@@ -20,7 +21,7 @@ throughout count as one text; an empty table gives no rows; texts of any length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,9 @@ BANDS, ROWS, PERMUTATIONS = 20, 4, 128
 #: Bits of 128 that may differ: estimated similarity of 0.58 and of 0.87 at least.
 LOOSE, TIGHT = 27, 8
 NO_ID = 2**63 - 1
-#: `other` is set in rows that are pairs already.
-BAND = "key long, node long, s0 long, s1 long, other long"
+#: `other` is set in rows that are pairs already, with how many bits differ.
+BAND = "key long, node long, root long, s0 long, s1 long, other long, apart int"
+PAIR = "a long, b long, apart int"
 FACTORS = np.random.default_rng(SEED).integers(1, 2**63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,77 +89,91 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, bits
 
 
-def candidates(node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group: pairs (leader, member), and the places of leaders."""
+def candidates(node: np.ndarray, bits: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group: rows (leader, member, bits apart), the nearest leader of each member, with roots all leaders of other roots; and the places of leaders."""
     order = np.argsort(node, kind="stable")
-    left, right, leaders = [node[:0]], [node[:0]], []
+    found, leaders = [], []
     while len(order):
         lead, order = order[0], order[1:]
         leaders.append(lead)
-        apart = np.bitwise_count(bits[order] ^ bits[lead]).sum(axis=1)
-        near = order[apart <= LOOSE]
-        left.append(np.full(len(near), node[lead]))
-        right.append(node[near])
+        apart = np.bitwise_count(bits[order] ^ bits[lead]).sum(axis=1).astype(np.int64)
+        near = (apart <= LOOSE) if root is None else (apart <= LOOSE) & (root[order] != root[lead])
+        if near.any():
+            found.append(np.stack([np.full(int(near.sum()), node[lead]), node[order[near]], apart[near]]))
         order = order[apart > TIGHT]
-    return np.concatenate(left), np.concatenate(right), np.array(leaders)
+    pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+    return nearest(pairs) if root is None else pairs, np.array(leaders)
 
 
-def grouped(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (leader, member, bits apart) the nearest for each member; the least leader of equally near ones."""
+    pairs = pairs[:, np.lexsort((pairs[0], pairs[2], pairs[1]))]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = pairs[1, 1:] != pairs[1, :-1]
+    return pairs[:, new & (pairs[0] != pairs[1])]
+
+
+def grouped(key: np.ndarray, node: np.ndarray, bits: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of all groups of equal keys, and which rows lead."""
     order = np.lexsort((node, key))
     cuts = np.flatnonzero(np.diff(key[order])) + 1
     starts, stops = np.append(0, cuts), np.append(cuts, len(order))
     several = stops - starts > 1
-    left, right, lead = [node[:0]], [node[:0]], np.ones(len(key), bool)
+    found, lead = [np.zeros((3, 0), np.int64)], np.ones(len(key), bool)
     for a, b in zip(starts[several].tolist(), stops[several].tolist()):
         own = order[a:b]
-        x, y, leaders = candidates(node[own], bits[own])
-        left.append(x)
-        right.append(y)
+        pairs, leaders = candidates(node[own], bits[own], None if root is None else root[own])
+        found.append(pairs)
         lead[own] = False
         lead[own[leaders]] = True
-    return np.concatenate(left), np.concatenate(right), lead
+    pairs = np.concatenate(found, axis=1)
+    return nearest(pairs) if root is None else np.unique(pairs[:, pairs[0] != pairs[1]], axis=1), lead
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+def band_batches(with_roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of the leaders of each slice of (node, text[, root]), and its pairs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in slices(batches, "text"):
+            node = batch.column(0).to_numpy()
+            root = batch.column(2).to_numpy() if with_roots else np.zeros(len(node), np.int64)
+            keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
+            row = np.repeat(np.arange(len(node)), BANDS)
+            pairs, lead = grouped(keys.ravel(), node[row], bits[row], root[row] if with_roots else None)
+            row = row[lead]
+            rows = [keys.ravel()[lead].view(np.int64), node[row], root[row], bits[row, 0].view(np.int64), bits[row, 1].view(np.int64)]
+            columns = [*(pa.concat_arrays([pa.array(x), y]) for x, y in zip(rows, (pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 3)))]
+            none = pa.nulls(len(row), pa.int64())
+            columns += [pa.concat_arrays([none, pa.array(pairs[0])]), pa.concat_arrays([none.cast(pa.int32()), pa.array(pairs[2].astype(np.int32))])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "s0", "s1", "other", "apart"])
 
-def band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the leaders of each slice, and its pairs."""
-    known = Words()
-    for batch in slices(batches, "text"):
-        node = batch.column(0).to_numpy()
-        keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
-        row = np.repeat(np.arange(len(node)), BANDS)
-        a, b, lead = grouped(keys.ravel(), node[row], bits[row])
-        pairs = distinct_pairs(a, b)
-        row = row[lead]
-        key, s0, s1 = (x.view(np.int64) for x in (keys.ravel()[lead], bits[row, 0], bits[row, 1]))
-        none, n = pa.nulls(len(row), pa.int64()), pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.array(y) if y is not None else n]) for x, y in ((key, None), (node[row], pairs[:, 0].copy()), (s0, None), (s1, None))] + [pa.concat_arrays([none, pa.array(pairs[:, 1].copy())])], names=["key", "node", "s0", "s1", "other"])
+    return run
 
 
-def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sorted (key, node, s0, s1); a group that runs on into the next batch waits for it."""
-    held: list[np.ndarray] = []
+def pair_batches(with_roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of sorted (key, node, root, s0, s1); a group that runs on into the next batch waits for it."""
 
     def done(rows: np.ndarray) -> pa.RecordBatch:
-        pairs = distinct_pairs(*grouped(rows[0], rows[1], rows[2:].T.copy().view(np.uint64))[:2])
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy() for c in batch.columns])
-        if held and held[0][0, 0] != rows[0, -1]:
-            rows, held = np.concatenate([*held, rows], axis=1), []
-        cut = 0 if held else int(np.searchsorted(rows[0], rows[0, -1]))
-        if cut:
-            yield done(rows[:, :cut])
-        held.append(rows[:, cut:].copy())
-    if held:
-        yield done(np.concatenate(held, axis=1))
+        pairs, _ = grouped(rows[0], rows[1], rows[3:].T.copy().view(np.uint64), rows[2] if with_roots else None)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], names=["a", "b", "apart"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if held and held[0][0, 0] != rows[0, -1]:
+                rows, held = np.concatenate([*held, rows], axis=1), []
+            cut = 0 if held else int(np.searchsorted(rows[0], rows[0, -1]))
+            if cut:
+                yield done(rows[:, :cut])
+            held.append(rows[:, cut:].copy())
+        if held:
+            yield done(np.concatenate(held, axis=1))
+
+    return run
 
 
 def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,25 +187,34 @@ def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
+def proposed(rows: DataFrame, with_roots: bool) -> DataFrame:
+    """Pairs (a, b) of rows (node, text[, root]): for each text b the nearest leader a, with roots all leaders of other roots."""
+    bands = materialise(rows.mapInArrow(band_batches(with_roots), BAND))
+    dealt = bands.where("other is null").select("key", "node", "root", "s0", "s1").repartition("key").sortWithinPartitions("key")
+    pairs = dealt.mapInArrow(pair_batches(with_roots), PAIR).unionByName(bands.where("other is not null").select(F.col("other").alias("a"), F.col("node").alias("b"), "apart"))
+    return materialise(pairs.select("a", "b").distinct() if with_roots else pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
+
+
 def similar(rows: DataFrame) -> DataFrame:
     """Links (a, b) between rows (node, text), enough to keep every component of similarity 0.8 or more."""
-    bands = materialise(rows.mapInArrow(band_batches, BAND))
-    dealt = bands.where("other is null").select("key", "node", "s0", "s1").repartition("key").sortWithinPartitions("key")
-    pairs = materialise(dealt.mapInArrow(pair_batches, "a long, b long").unionByName(bands.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct())
+    pairs = proposed(rows, False)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # Only texts that are in a pair are shuffled.
     known = materialise(passing(rows, filter_of(ends), "node").dropDuplicates(["node"]))
 
     def verified(chosen: DataFrame) -> DataFrame:
         one = spread_join(chosen, "a", "b", known.select(F.col("node").alias("a"), F.col("text").alias("text_a")))
-        both = one.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = spread_join(one, "b", "a", known.select(F.col("node").alias("b"), F.col("text").alias("text_b")))
         return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(similar_batches, "a long, b long"))
 
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    roots = connected_components(first)
-    root = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"of_{end}"))
-    apart = spread_join(pairs, "a", "b", pairs.select("a").distinct().join(root("a"), "a", "left")).join(root("b"), "b", "left")
-    return first.unionByName(verified(apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")))
+    links, tried = verified(pairs), pairs
+    while True:
+        roots = connected_components(links).select(F.col("id").alias("node"), "root")
+        pairs = materialise(proposed(known.join(roots, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root")), True).join(tried, ["a", "b"], "left_anti"))
+        found = verified(pairs)
+        if found.isEmpty():
+            return links
+        links, tried = links.unionByName(found), tried.unionByName(pairs)
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
