@@ -41,8 +41,8 @@ def headings(e: DataFrame, least_size: float = 10.0, ratio: float = 1.3) -> Data
 
 
 def sections(e: DataFrame) -> DataFrame:
-    """Elements by the heading they follow; before the first, section 0."""
-    upto = Window.partitionBy("page").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    """Elements by the heading they follow; before the first, section 0. Elements of one id are in one section."""
+    upto = Window.partitionBy("page").orderBy("id").rangeBetween(Window.unboundedPreceding, 0)
     return e.withColumn("section", F.sum((F.col("element_type") == "heading").cast("int")).over(upto))
 
 
