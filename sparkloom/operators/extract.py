@@ -180,7 +180,8 @@ def modules(lines: DataFrame, manifest: str, most: int = 50) -> DataFrame:
     form = MODULES[manifest]
     rows = lines.select("project", "path", "line_no", F.regexp_extract("line", form, 1).alias("module")).where("module <> ''")
     if manifest == "go.mod":
-        rows = rows.groupBy("project", "module").agg(F.min(F.struct(F.col("module"), F.lit(0).alias("n"))).alias("at")).select("project", F.col("module").alias("path"), F.lit(0).alias("line_no"), "module")
+        # Packages, of which several files tell, are listed once, by name.
+        rows = rows.select("project", F.col("module").alias("path"), F.lit(0).alias("line_no"), "module").distinct()
     rank = F.row_number().over(Window.partitionBy("project").orderBy("path", "line_no"))
     return rows.withColumn("r", rank).where(F.col("r") <= most).select("project", "module", "r")
 
