@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A filter has SHARE bits for each hash, between these numbers of bits.
 SHARE, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
+#: Rows that are copied at a time.
+ROWS = 1000
 
 
 class BitFilter:
@@ -42,9 +44,12 @@ def kept_by(known: BitFilter, column: str, passing: bool) -> Callable[[Iterator[
     """Rows whose `column` passes the filter, or those whose does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(batch.schema.get_field_index(column)).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(known.passes(hashes) == passing))
+        for whole in batches:
+            # A few rows at a time, so that no second copy of a large batch is held.
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                hashes = batch.column(batch.schema.get_field_index(column)).to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(known.passes(hashes) == passing))
 
     return run
 

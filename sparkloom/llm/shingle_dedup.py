@@ -13,7 +13,7 @@ next leader. Of all its leaders a text keeps the nearest, so a large group of co
 pairs. That is done in each slice of documents first: of a group, however large, a slice sends its leaders only.
 
 Candidates are verified on whole texts. Then texts that had a candidate are put in groups again, now with their
-components, and are tried with all leaders of other components, until no new link is found.
+components, and are tried with all leaders of other components.
 
 Defined cases: null text counts as empty; a text of fewer than five words is one shingle of them all; rows equal
 throughout count as one text; an empty table gives no rows; texts of any length are read whole.
@@ -178,7 +178,7 @@ def pair_batches(with_roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text_a, text_b) the pairs (a, b) whose shingles reach the similarity."""
-    for batch in batches:
+    for batch in slices(batches, "text_a"):
         kept = []
         for k, (x, y) in enumerate(zip(texts(batch, "text_a"), texts(batch, "text_b"))):
             x, y = shingle_set(x), shingle_set(y)
@@ -207,14 +207,11 @@ def similar(rows: DataFrame) -> DataFrame:
         both = spread_join(one, "b", "a", known.select(F.col("node").alias("b"), F.col("text").alias("text_b")))
         return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(similar_batches, "a long, b long"))
 
-    links, tried = verified(pairs), pairs
-    while True:
-        roots = connected_components(links).select(F.col("id").alias("node"), "root")
-        pairs = materialise(proposed(known.join(roots, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root")), True).join(tried, ["a", "b"], "left_anti"))
-        found = verified(pairs)
-        if found.isEmpty():
-            return links
-        links, tried = links.unionByName(found), tried.unionByName(pairs)
+    links = verified(pairs)
+    roots = connected_components(links).select(F.col("id").alias("node"), "root")
+    # All leaders of other components are tried here, so that a further round would find nothing new.
+    others = proposed(known.join(roots, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root")), True)
+    return links.unionByName(verified(others.join(pairs, ["a", "b"], "left_anti")))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
