@@ -29,6 +29,11 @@ def record_batch(rows: list[tuple], schema: str) -> Any:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
 
 
+def kind_of(edges: DataFrame) -> str:
+    """Type of the nodes: string, int or long."""
+    return {"bigint": "long"}.get(kind := dict(edges.dtypes)["src"], kind)
+
+
 def alone(edges: DataFrame, work: Callable[[Pairs], list[tuple]], schema: str) -> DataFrame:
     """Rows that one worker makes of all edges (src, dst), which are at most BOUND."""
 
@@ -165,7 +170,7 @@ def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of at least one edge."""
     step = cut(adjacency(edges))
     if fits(step):
-        return from_each(step, lambda a, seen: [(a, b) for b in seen], "src string, dst string")
+        return from_each(step, lambda a, seen: [(a, b) for b in seen], f"src {kind_of(step)}, dst {kind_of(step)}")
     seen, frontier = step, step
     while True:
         new = frontier.alias("f").join(step.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
@@ -191,7 +196,7 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
                         ahead.append(b)
             return [(x,) for x in found]
 
-        return alone(step.unionByName(seen.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"))), search, "node string")
+        return alone(step.unionByName(seen.select(F.lit(None).cast(dict(step.dtypes)["src"]).alias("src"), F.col("node").alias("dst"))), search, f"node {kind_of(step)}")
     frontier = seen
     while True:
         new = frontier.join(step, frontier.node == step.src).select(F.col("dst").alias("node")).distinct()
@@ -245,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
         found.append(part)
         rest = core.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         core = cut(rest.select("src", "dst"))
-    out = alone(core, lambda pairs: list(strong(pairs).items()), "node string, component string")
+    out = alone(core, lambda pairs: list(strong(pairs).items()), f"node {kind_of(core)}, component {kind_of(core)}")
     for part in found:
         out = out.unionByName(part)
     several = out.groupBy("component").count().where("count > 1").select("component")
@@ -333,7 +338,7 @@ def levels(edges: DataFrame) -> DataFrame:
     """Layers (node, component, level): components that depend on nothing are level 0, each other one is one above the highest it depends on; members of a component share its level."""
     step = cut(adjacency(edges))
     if fits(step):
-        return alone(step, ranked, "node string, component string, level int")
+        return alone(step, ranked, f"node {kind_of(step)}, component {kind_of(step)}, level int")
     of = components(step)
     left = cut(condensed(step, of))
     rest = cut(nodes(step).join(of, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct())

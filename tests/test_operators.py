@@ -90,8 +90,7 @@ def test_graph_of_two_cycles(spark):
     edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "a", 2), ("c", "d", 1), ("e", "f", 1), ("f", "e", 1), ("g", "g", 1)], "src string, dst string, weight long")
     assert {(r.component, r.size, r.inner_edges) for r in graph.cycles(edges).collect()} == {("a", 3, 3), ("e", 2, 2)}
     assert {(r.src, r.dst) for r in graph.tears(edges).collect()} == {("b", "c"), ("e", "f")}
-    done, stuck = graph.levels(edges)
-    assert {(r.node, r.level) for r in done.collect()} == {("d", 0)} and {r.node for r in stuck.collect()} == set("abcef")
+    assert {(r.node, r.component, r.level) for r in graph.levels(edges).collect()} == {("d", "d", 0), ("a", "a", 1), ("b", "a", 1), ("c", "a", 1), ("e", "e", 0), ("f", "e", 0)}
 
 
 def test_graph_without_edges(spark):
