@@ -50,7 +50,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumn("redactions", F.lit(0))
     for (label, pattern), words in zip(R.REDACTIONS, R.REDACTION_WORDS):
         out = counted_replace(out, text, "redactions", pattern, f"<REDACTED:{label}>", words)
-    return out
+    return settled(out, text, "redactions")
 
 
 def has_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -63,6 +63,12 @@ def counted_replace(df: DataFrame, text: str, count: str, pattern: str, to: str,
     return df.withColumns({count: F.col(count) + F.when(may, F.regexp_count(F.col(text), F.lit(pattern))).otherwise(0), text: F.when(may, F.regexp_replace(text, pattern, to)).otherwise(F.col(text))})
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` with `columns` made by a generator of one row, which filters on them stay above: pushed below, a filter would hold each replaced text three times and more, one in the other."""
+    made = df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
+    return made.select(*df.columns)
+
+
 def excluded(path: Column) -> Column:
     """Why a file's notes are no debt; null if they may be."""
     norm = F.regexp_replace(path, r"\\", "/")
@@ -105,7 +111,8 @@ def sanitize(df: DataFrame, text: str = "text", limit: int = 5000) -> DataFrame:
         blocked = blocked | (has_any(F.col("sanitize_lower"), words) & F.col(text).rlike(pattern))
     out = out.withColumns({"blocked": blocked, "encoded": F.regexp_count(F.col(text), F.lit(R.BASE64)), text: F.regexp_replace(text, R.BASE64, "[base64-removed]")})
     out = out.withColumns({"encoded": F.col("encoded") + F.regexp_count(F.col(text), F.lit(R.DATA_URI)), text: F.regexp_replace(text, R.DATA_URI, "[data-uri-removed]")})
-    return out.withColumns({"truncated": F.octet_length(text) > limit, text: truncate_utf8(F.col(text), limit)}).drop("sanitize_lower")
+    out = settled(out.drop("sanitize_lower"), text, "hidden", "invisible", "blocked", "encoded")
+    return out.withColumns({"truncated": F.octet_length(text) > limit, text: truncate_utf8(F.col(text), limit)})
 
 
 def without_secrets(url: Column) -> Column:
