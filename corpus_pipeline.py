@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import materialise, table
+from sparkloom.llm.common import bounded_batches, materialise, table
 from sparkloom.llm.decontaminate import decontaminated
 from sparkloom.llm.pack_binary import pack_documents, public_tokenizer
 from sparkloom.llm.pii import redact
@@ -15,16 +15,19 @@ from sparkloom.llm.simhash_dedup import one_of_each
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
+    bounded_batches(spark)
     return keep_quality(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: within three bits, then sharing 0.8 of their 5-word shingles."""
+    bounded_batches(spark)
     return one_of_similar(materialise(one_of_each(docs)))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without test items."""
+    bounded_batches(spark)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -35,6 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
+    bounded_batches(spark)
     return pack_documents(docs, public_tokenizer(), with_ids=False)
 
 

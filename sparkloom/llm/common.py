@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands at a time; one longer row is taken alone.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch, which ends with the row that reaches them: less than a slice, so that few batches are cut.
+BATCH_BYTES = SLICE_BYTES * 15 // 16
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,12 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold BATCH_BYTES or a row more, unless a limit is set. By rows alone a batch has 10000 whole texts, which executors hold outside the heap."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the strings of `column` in each hold at most `limit` bytes, or are a single row."""
     for batch in batches:

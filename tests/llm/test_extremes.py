@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from cases import documents, prose
 from pyspark.sql import functions as F
@@ -82,3 +83,24 @@ def test_chats_of_no_rows_and_of_a_long_turn(spark):
     found = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.format_chat(turns).mapInArrow(chat_format.read_back, chat_format.DIGESTS).collect()}
     assert found == {1: (2, 0), None: (1, 0)}
     assert chat_format.format_chat(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "near_copies", "leaks", "packing"])
+def test_pipeline_bounds_batches(spark, tmp_path, name):
+    """A stage that maps over texts sends no batch of many whole texts to Python."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    items(documents(spark, [(1, "x")])).write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    spark.conf.unset(common.BATCH_LIMIT)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, documents(spark, [(1, prose(1, 60)), (2, prose(2, 60))]), str(tmp_path))
+        found = long.mapInArrow(sizes, "n long, bytes long").collect()
+    finally:
+        spark.conf.unset(common.BATCH_LIMIT)
+    assert sum(r.n for r in found) == 600
+    assert max(r.bytes for r in found) < common.SLICE_BYTES + 100_000
