@@ -13,7 +13,9 @@ next leader. Of all its leaders a text keeps the nearest, so a large group of co
 pairs. That is done in each slice of documents first: of a group, however large, a slice sends its leaders only.
 
 Candidates are verified on whole texts. Then texts that had a candidate are put in groups again, now with their
-components, and are tried with all leaders of other components.
+components. Those that may be similar to one of another component bring their hashed shingles to the group, which compares
+all such pairs itself and returns links that join components only, fewer than it has components: pairs are no rows.
+These links are verified on whole texts, too.
 
 Defined cases: null text counts as empty; a text of fewer than five words is one shingle of them all; rows equal
 throughout count as one text; an empty table gives no rows; texts of any length are read whole.
@@ -21,7 +23,7 @@ throughout count as one text; an empty table gives no rows; texts of any length
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ BANDS, ROWS, PERMUTATIONS = 20, 4, 128
 LOOSE, TIGHT = 27, 8
 NO_ID = 2**63 - 1
 #: `other` is set in rows that are pairs already, with how many bits differ.
-BAND = "key long, node long, root long, s0 long, s1 long, other long, apart int"
+BAND = "key long, node long, s0 long, s1 long, other long, apart int"
+ROOTED = "key long, node long, root long, s0 long, s1 long"
 PAIR = "a long, b long, apart int"
 FACTORS = np.random.default_rng(SEED).integers(1, 2**63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,20 +92,19 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, bits
 
 
-def candidates(node: np.ndarray, bits: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of a group: rows (leader, member, bits apart), the nearest leader of each member, with roots all leaders of other roots; and the places of leaders."""
+def candidates(node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group: rows (leader, member, bits apart), the nearest leader of each member; and the places of leaders."""
     order = np.argsort(node, kind="stable")
     found, leaders = [], []
     while len(order):
         lead, order = order[0], order[1:]
         leaders.append(lead)
         apart = np.bitwise_count(bits[order] ^ bits[lead]).sum(axis=1).astype(np.int64)
-        near = (apart <= LOOSE) if root is None else (apart <= LOOSE) & (root[order] != root[lead])
+        near = apart <= LOOSE
         if near.any():
             found.append(np.stack([np.full(int(near.sum()), node[lead]), node[order[near]], apart[near]]))
         order = order[apart > TIGHT]
-    pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-    return nearest(pairs) if root is None else pairs, np.array(leaders)
+    return nearest(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)), np.array(leaders)
 
 
 def nearest(pairs: np.ndarray) -> np.ndarray:
@@ -113,67 +115,139 @@ def nearest(pairs: np.ndarray) -> np.ndarray:
     return pairs[:, new & (pairs[0] != pairs[1])]
 
 
-def grouped(key: np.ndarray, node: np.ndarray, bits: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def several(key: np.ndarray) -> list[tuple[int, int]]:
+    """Where groups of two and more equal keys begin and end, of sorted keys."""
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    starts, stops = np.append(0, cuts), np.append(cuts, len(key))
+    many = stops - starts > 1
+    return list(zip(starts[many].tolist(), stops[many].tolist()))
+
+
+def grouped(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of all groups of equal keys, and which rows lead."""
     order = np.lexsort((node, key))
-    cuts = np.flatnonzero(np.diff(key[order])) + 1
-    starts, stops = np.append(0, cuts), np.append(cuts, len(order))
-    several = stops - starts > 1
     found, lead = [np.zeros((3, 0), np.int64)], np.ones(len(key), bool)
-    for a, b in zip(starts[several].tolist(), stops[several].tolist()):
+    for a, b in several(key[order]):
         own = order[a:b]
-        pairs, leaders = candidates(node[own], bits[own], None if root is None else root[own])
+        pairs, leaders = candidates(node[own], bits[own])
         found.append(pairs)
         lead[own] = False
         lead[own[leaders]] = True
-    pairs = np.concatenate(found, axis=1)
-    return nearest(pairs) if root is None else np.unique(pairs[:, pairs[0] != pairs[1]], axis=1), lead
-
-
-def band_batches(with_roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of the leaders of each slice of (node, text[, root]), and its pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in slices(batches, "text"):
-            node = batch.column(0).to_numpy()
-            root = batch.column(2).to_numpy() if with_roots else np.zeros(len(node), np.int64)
-            keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
-            row = np.repeat(np.arange(len(node)), BANDS)
-            pairs, lead = grouped(keys.ravel(), node[row], bits[row], root[row] if with_roots else None)
-            row = row[lead]
-            rows = [keys.ravel()[lead].view(np.int64), node[row], root[row], bits[row, 0].view(np.int64), bits[row, 1].view(np.int64)]
-            columns = [*(pa.concat_arrays([pa.array(x), y]) for x, y in zip(rows, (pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 3)))]
-            none = pa.nulls(len(row), pa.int64())
-            columns += [pa.concat_arrays([none, pa.array(pairs[0])]), pa.concat_arrays([none.cast(pa.int32()), pa.array(pairs[2].astype(np.int32))])]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "s0", "s1", "other", "apart"])
-
-    return run
-
-
-def pair_batches(with_roots: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of sorted (key, node, root, s0, s1); a group that runs on into the next batch waits for it."""
-
-    def done(rows: np.ndarray) -> pa.RecordBatch:
-        pairs, _ = grouped(rows[0], rows[1], rows[3:].T.copy().view(np.uint64), rows[2] if with_roots else None)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], names=["a", "b", "apart"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
+    return nearest(np.concatenate(found, axis=1)), lead
+
+
+def band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the leaders of each slice of (node, text), and its pairs."""
+    known = Words()
+    for batch in slices(batches, "text"):
+        node = batch.column(0).to_numpy()
+        keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
+        row = np.repeat(np.arange(len(node)), BANDS)
+        pairs, lead = grouped(keys.ravel(), node[row], bits[row])
+        row = row[lead]
+        rows = [keys.ravel()[lead].view(np.int64), node[row], bits[row, 0].view(np.int64), bits[row, 1].view(np.int64)]
+        columns = [*(pa.concat_arrays([pa.array(x), y]) for x, y in zip(rows, (pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], pa.int64())] * 2)))]
+        none = pa.nulls(len(row), pa.int64())
+        columns += [pa.concat_arrays([none, pa.array(pairs[0])]), pa.concat_arrays([none.cast(pa.int32()), pa.array(pairs[2].astype(np.int32))])]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "s0", "s1", "other", "apart"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, each group of equal ones whole; one that runs on into the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and held[0].column(0)[0].as_py() != key[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbers(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(x).to_numpy() for x in names]
+
+
+def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sorted (key, node, s0, s1)."""
+    for rows in whole_groups(batches):
+        key, node, s0, s1 = numbers(rows, "key", "node", "s0", "s1")
+        pairs, _ = grouped(key, node, np.stack([s0, s1], axis=1).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], names=["a", "b", "apart"])
+
+
+def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All keys of (node, text, root)."""
+    known = Words()
+    for batch in slices(batches, "text"):
+        node, root = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        keys, bits = signatures(*shingle_rows(texts(batch, "text"), known))
+        row = np.repeat(np.arange(len(node)), BANDS)
+        columns = [keys.ravel().view(np.int64), node[row], root[row], bits[row, 0].view(np.int64), bits[row, 1].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "root", "s0", "s1"])
+
+
+def apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, node, root, s0, s1) the rows (key, node, root) that may be similar to one of another root in their group."""
+    for rows in whole_groups(batches):
+        key, node, root, s0, s1 = numbers(rows, "key", "node", "root", "s0", "s1")
+        bits = np.stack([s0, s1], axis=1).view(np.uint64)
+        kept = np.zeros(len(key), bool)
+        for a, b in several(key):
+            if (root[a:b] == root[a]).all():
                 continue
-            rows = np.stack([c.to_numpy() for c in batch.columns])
-            if held and held[0][0, 0] != rows[0, -1]:
-                rows, held = np.concatenate([*held, rows], axis=1), []
-            cut = 0 if held else int(np.searchsorted(rows[0], rows[0, -1]))
-            if cut:
-                yield done(rows[:, :cut])
-            held.append(rows[:, cut:].copy())
-        if held:
-            yield done(np.concatenate(held, axis=1))
-
-    return run
+            for k in range(a, b - 1):
+                near = (np.bitwise_count(bits[k + 1 : b] ^ bits[k]).sum(axis=1) <= LOOSE) & (root[k + 1 : b] != root[k])
+                kept[k] |= near.any()
+                kept[k + 1 : b] |= near
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, node, root)], names=["key", "node", "root"])
+
+
+def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, its different shingle hashes as bytes) of (node, text)."""
+    known = Words()
+    for batch in slices(batches, "text"):
+        hashes, counts = shingle_rows(texts(batch, "text"), known)
+        sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+
+def joining(root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of similar sets that join all similar roots: each link joins two that no earlier one has joined."""
+    root, size = root.copy(), np.array([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    own = np.zeros(1 + max(int(x.max()) for x in ids), bool)
+    found = []
+    for k in range(len(sets) - 1):
+        later = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & (5 * size[k + 1 :] >= 4 * size[k]) & (5 * size[k] >= 4 * size[k + 1 :]))
+        if not len(later):
+            continue
+        own[ids[k]] = True
+        shared = np.add.reduceat(own[np.concatenate([ids[j] for j in later])], np.cumsum(size[later]) - size[later], dtype=np.int64)
+        own[ids[k]] = False
+        for j in later[9 * shared >= 4 * (size[k] + size[later])].tolist():
+            if root[j] != root[k]:
+                found.append((k, j))
+                root[root == root[j]] = root[k]
+    return found
+
+
+def link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of sorted (key, node, root, hashes) between different roots: in a group fewer than it has roots."""
+    for rows in whole_groups(batches):
+        key, node, root = numbers(rows, "key", "node", "root")
+        found = np.zeros((0, 2), np.int64)
+        for a, b in several(key):
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").slice(a, b - a).to_pylist()]
+            links = np.array(joining(root[a:b], sets), np.int64).reshape(-1, 2)
+            found = np.concatenate([found, node[a + links]])
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
 def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +261,26 @@ def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def proposed(rows: DataFrame, with_roots: bool) -> DataFrame:
-    """Pairs (a, b) of rows (node, text[, root]): for each text b the nearest leader a, with roots all leaders of other roots."""
-    bands = materialise(rows.mapInArrow(band_batches(with_roots), BAND))
-    dealt = bands.where("other is null").select("key", "node", "root", "s0", "s1").repartition("key").sortWithinPartitions("key")
-    pairs = dealt.mapInArrow(pair_batches(with_roots), PAIR).unionByName(bands.where("other is not null").select(F.col("other").alias("a"), F.col("node").alias("b"), "apart"))
-    return materialise(pairs.select("a", "b").distinct() if with_roots else pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
+def proposed(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (node, text): for each text b the nearest leader a."""
+    bands = materialise(rows.mapInArrow(band_batches, BAND))
+    dealt = bands.where("other is null").select("key", "node", "s0", "s1").repartition("key").sortWithinPartitions("key")
+    pairs = dealt.mapInArrow(pair_batches, PAIR).unionByName(bands.where("other is not null").select(F.col("other").alias("a"), F.col("node").alias("b"), "apart"))
+    return materialise(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b"))
+
+
+def between(rows: DataFrame) -> DataFrame:
+    """Links (a, b) by shingle hashes between the roots of rows (node, text, root), enough to join all that are similar."""
+    dealt = rows.mapInArrow(key_batches, ROOTED).repartition("key").sortWithinPartitions("key")
+    apart = materialise(dealt.mapInArrow(apart_batches, "key long, node long, root long"))
+    sets = rows.select("node", "text").mapInArrow(set_batches, "node long, hashes binary")
+    met = apart.join(sets, "node").select("key", "node", "root", "hashes").repartition("key").sortWithinPartitions("key", "node")
+    return materialise(met.mapInArrow(link_batches, "a long, b long").distinct())
 
 
 def similar(rows: DataFrame) -> DataFrame:
     """Links (a, b) between rows (node, text), enough to keep every component of similarity 0.8 or more."""
-    pairs = proposed(rows, False)
+    pairs = proposed(rows)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # Only texts that are in a pair are shuffled.
     known = materialise(passing(rows, filter_of(ends), "node").dropDuplicates(["node"]))
@@ -209,9 +292,9 @@ def similar(rows: DataFrame) -> DataFrame:
 
     links = verified(pairs)
     roots = connected_components(links).select(F.col("id").alias("node"), "root")
-    # All leaders of other components are tried here, so that a further round would find nothing new.
-    others = proposed(known.join(roots, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root")), True)
-    return links.unionByName(verified(others.join(pairs, ["a", "b"], "left_anti")))
+    # All pairs of different components are tried here, so that a further round would find nothing new.
+    others = between(known.join(roots, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root")))
+    return links.unionByName(verified(others))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from sparkloom.llm import shingle_dedup
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,6 +60,56 @@ def test_one_of_similar(spark):
     assert shingle_dedup.one_of_similar(docs.limit(0)).count() == 0
 
 
+def test_a_group_of_less_similar_copies_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    # Nearly all pairs have a similarity of 0.6 to 0.8, and share keys; a few have more.
+    for k in range(220):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 3, 3, 3])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    sizes = []
+
+    def counted(df, materialise=shingle_dedup.materialise):
+        out = materialise(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "materialise", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert sorted(r.doc_id for r in shingle_dedup.one_of_similar(docs).collect()) == plain_kept(rows)
+    assert max(sizes) <= (shingle_dedup.BANDS + 1) * len(rows)
+
+
+def test_joining_all_similar_roots():
+    rng = random.Random(3)
+    sets = [np.unique([rng.randrange(40) if rng.random() < 0.1 else v for v in range(30)]).astype(np.uint64) for _ in range(60)]
+    root = np.array([rng.randrange(30) for _ in sets])
+
+    def parts(links):
+        part = root.copy()
+        for a, b in links:
+            part[part == part[b]] = part[a]
+        return [part.tolist().index(x) for x in part.tolist()]
+
+    plain = [(a, b) for a in range(60) for b in range(a) if near(set(sets[a].tolist()), set(sets[b].tolist()))]
+    found = shingle_dedup.joining(root, sets)
+    assert parts(found) == parts(plain)
+    assert all((b, a) in plain for a, b in found)
+    assert len(found) == len(set(root.tolist())) - len(set(parts(plain)))
+
+
+def test_groups_over_batches_stay_whole():
+    for step in (1, 2, 3, 7, 20):
+        key = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 6]
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + step], pa.int64())], names=["key"]) for k in range(0, len(key), step)]
+        found = [t.column("key").to_pylist() for t in shingle_dedup.whole_groups(iter(batches))]
+        assert sum(found, []) == key
+        assert all(x[-1] != y[0] for x, y in zip(found, found[1:]))
+
+
 def test_pipeline_keeps_no_similar_pair(spark):
     import corpus_pipeline
 
