@@ -107,7 +107,7 @@ ORACLES = {
     "k2_sections": P + ", " + SECTIONS + "SELECT page_id, pos, heading, level, CAST(length(content) AS INT) AS chars FROM sections",
     "k3_links": BARE + ", " + LINKS + "SELECT page_id, href, text FROM links",
     "k3_resolved_links": BARE + ", " + LINKS + f"SELECT page_id, href, {RESOLVED} AS target FROM links",
-    "k4_concepts": P + ", " + SECTIONS + ", " + CONCEPTS + "SELECT * FROM concepts WHERE rank <= 500",
+    "k4_concepts": P + ", " + SECTIONS + ", " + CONCEPTS + "SELECT * FROM concepts",
     "k5_web_graph": BARE + ", " + SECTIONS + ", " + LINKS + ", " + CONCEPTS + f""", edges AS (SELECT DISTINCT 'contains' AS edge_type, 1.0::DOUBLE AS weight, page_id::VARCHAR AS a, pos::VARCHAR AS b FROM sections
         UNION SELECT DISTINCT 'contains', 1.0, 's' || page_id || '#' || pos, lower(name) FROM concepts
         UNION SELECT DISTINCT 'related_to', 0.7, lower(x.name), lower(y.name) FROM concepts x JOIN concepts y ON x.page_id = y.page_id AND x.pos = y.pos AND x.rank < y.rank
