@@ -46,7 +46,7 @@ def schema(spark: SparkSession, sf: str, text: str) -> DataFrame:
 QUERIES = {
     "k1_uuid5": lambda s, d: pages(s, d).select("page_id", uuid5(W.NAMESPACE, F.col("url")).alias("id")),
     "k2_headings": lambda s, d: W.headings(pages(s, d)),
-    "k2_sections": lambda s, d: W.sections(pages(s, d)).select("page_id", "pos", "heading", "level", F.length("content").alias("chars")),
+    "k2_sections": lambda s, d: W.sections(pages(s, d), 200).select("page_id", "pos", "heading", "level", F.length("content").alias("chars")),
     "k3_links": lambda s, d: W.links(bare(s, d)).select("page_id", "href", "text"),
     "k3_resolved_links": lambda s, d: W.links(bare(s, d)).select("page_id", "href", W.resolve(F.col("url"), F.col("href")).alias("target")),
     "k4_concepts": lambda s, d: W.concepts(W.sections(pages(s, d))),
@@ -90,6 +90,7 @@ named AS (SELECT page_id, pos, part, CASE WHEN pos > 0 THEN {PLAIN.format('title
 sec AS (SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN title <> '' THEN title WHEN n = 0 THEN 'Content' ELSE 'Introduction' END AS heading, CASE WHEN title <> '' THEN CAST(lv AS INT) ELSE 1 END AS level,
  array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(part, {q(W.BLOCK)}, 1), lambda x: {PLAIN.format('x')}), lambda y: y <> ''), lambda z: {DECODED.format('z')}), chr(10)) AS content, title FROM named),
 sections AS (SELECT * FROM sec WHERE (title <> '' OR content <> '') AND pos < 200) """
+WHOLE = SECTIONS.replace(" AND pos < 200", "")
 LINKS = f"""lk AS (SELECT page_id, url, unnest(regexp_extract_all(html, {q(W.LINK)}, 1)) AS href, unnest(regexp_extract_all(html, {q(W.LINK)}, 2)) AS inside FROM p),
 links AS (SELECT page_id, url, trim(href) AS href, {PLAIN.format('inside')} AS text FROM lk WHERE trim(href) <> '' AND NOT starts_with(trim(href), '#') AND NOT starts_with(lower(trim(href)), 'javascript:')) """
 RESOLVED = r"""CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
@@ -107,8 +108,8 @@ ORACLES = {
     "k2_sections": P + ", " + SECTIONS + "SELECT page_id, pos, heading, level, CAST(length(content) AS INT) AS chars FROM sections",
     "k3_links": BARE + ", " + LINKS + "SELECT page_id, href, text FROM links",
     "k3_resolved_links": BARE + ", " + LINKS + f"SELECT page_id, href, {RESOLVED} AS target FROM links",
-    "k4_concepts": P + ", " + SECTIONS + ", " + CONCEPTS + "SELECT * FROM concepts",
-    "k5_web_graph": BARE + ", " + SECTIONS + ", " + LINKS + ", " + CONCEPTS + f""", edges AS (SELECT DISTINCT 'contains' AS edge_type, 1.0::DOUBLE AS weight, page_id::VARCHAR AS a, pos::VARCHAR AS b FROM sections
+    "k4_concepts": P + ", " + WHOLE + ", " + CONCEPTS + "SELECT * FROM concepts",
+    "k5_web_graph": BARE + ", " + WHOLE + ", " + LINKS + ", " + CONCEPTS + f""", edges AS (SELECT DISTINCT 'contains' AS edge_type, 1.0::DOUBLE AS weight, page_id::VARCHAR AS a, pos::VARCHAR AS b FROM sections
         UNION SELECT DISTINCT 'contains', 1.0, 's' || page_id || '#' || pos, lower(name) FROM concepts
         UNION SELECT DISTINCT 'related_to', 0.7, lower(x.name), lower(y.name) FROM concepts x JOIN concepts y ON x.page_id = y.page_id AND x.pos = y.pos AND x.rank < y.rank
         UNION SELECT DISTINCT 'references', 0.5, url, {RESOLVED} FROM links WHERE {RESOLVED} IS NOT NULL) SELECT edge_type, weight, count(*) AS n FROM edges GROUP BY ALL""",
