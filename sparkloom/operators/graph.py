@@ -1,32 +1,27 @@
 """Dependency graphs as edge tables (src, dst, weight): never a dense matrix.
 
 Iterative operators first look at the size of the graph: one of at most BOUND distinct edges is handled by a single worker
-in linear time (only the edges go there, never pairs). Larger ones are handled by joins: components by colouring forwards
-and backwards, layers by peeling, reachability by a frontier of what the last round found; every round is cut.
+in linear time, as numbers (`numbered`; only the edges go there, never pairs). Pairs are made by all tasks, each of which is
+given the edges between components. Larger graphs are handled by joins: components by colouring forwards and backwards, layers
+by peeling, reachability by a frontier of what the last round found; every round is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.shared import cut
+from sparkloom.operators import numbered as N
 
 #: Distinct edges, and marked nodes, that one worker is given.
-BOUND = 200_000
-Pairs = list[tuple[str, str]]
-
-
-def record_batch(rows: list[tuple], schema: str) -> Any:
-    """Rows as an Arrow batch of string, int and long columns."""
-    import pyarrow as pa
-
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-    fields = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+BOUND = 20_000_000
+#: Components that one task looks for what they reach.
+STARTS = 20_000
 
 
 def kind_of(edges: DataFrame) -> str:
@@ -34,70 +29,25 @@ def kind_of(edges: DataFrame) -> str:
     return {"bigint": "long"}.get(kind := dict(edges.dtypes)["src"], kind)
 
 
-def alone(edges: DataFrame, work: Callable[[Pairs], list[tuple]], schema: str) -> DataFrame:
-    """Rows that one worker makes of all edges (src, dst), which are at most BOUND."""
+def alone(edges: DataFrame, work: Callable[[N.Numbered], list[pa.Array]], schema: str) -> DataFrame:
+    """Rows, as columns, that one worker makes of all edges (src, dst, and a weight if there is one), which are at most BOUND."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator) -> Iterator:
-        pairs: Pairs = []
-        for batch in batches:
-            pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        yield record_batch(work(pairs), schema)
-
-    return edges.select("src", "dst").coalesce(1).mapInArrow(run, schema)
-
-
-def following(pairs: Pairs) -> dict[str, list[str]]:
-    """Sorted successors of every node."""
-    out: dict[str, list[str]] = {}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    return {a: sorted(out[a]) for a in sorted(out)}
-
-
-def strong(pairs: Pairs) -> dict[str, str]:
-    """Least member of the strongly connected component of every node, components in the order of their successors first."""
-    after = following(pairs)
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_: list[str] = []
-    waiting: set[str] = set()
-    found: dict[str, str] = {}
-    for start in after:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        open_.append(start)
-        waiting.add(start)
-        path = [(start, iter(after[start]))]
-        while path:
-            node, rest = path[-1]
-            for b in rest:
-                if b not in index:
-                    index[b] = low[b] = len(index)
-                    open_.append(b)
-                    waiting.add(b)
-                    path.append((b, iter(after[b])))
-                    break
-                if b in waiting:
-                    low[node] = min(low[node], index[b])
-            else:
-                path.pop()
-                if path:
-                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
-                if low[node] == index[node]:
-                    at = len(open_) - 1
-                    while open_[at] != node:
-                        at -= 1
-                    members = open_[at:]
-                    del open_[at:]
-                    waiting.difference_update(members)
-                    found.update(dict.fromkeys(members, min(members)))
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.RecordBatch.from_arrays(work(N.Numbered(batches)), names)
+        for at in range(0, max(len(whole), 1), N.ROWS):
+            yield whole.slice(at, N.ROWS)
+
+    return edges.coalesce(1).mapInArrow(run, schema)
 
 
 def fits(rows: DataFrame) -> bool:
-    return rows.limit(BOUND + 1).count() <= BOUND
+    return rows.count() <= BOUND
+
+
+def by_merge(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the graph: joins with them send nothing through the driver."""
+    return rows.hint("merge")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -135,42 +85,44 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def reach(after: dict[str, list[str]], start: str) -> set[str]:
-    """What `start` reaches by one edge at least."""
-    seen: set[str] = set()
-    ahead = [start]
-    while ahead:
-        for b in after.get(ahead.pop(), ()):
-            if b not in seen:
-                seen.add(b)
-                ahead.append(b)
-    return seen
+def condensed_table(step: DataFrame) -> DataFrame:
+    """Components (c, members, next) of edges, at most BOUND, by number."""
+    return cut(alone(step, N.condensed, f"c int, members array<{kind_of(step)}>, next array<int>"))
+
+
+def reach_of(table: DataFrame) -> N.Reach:
+    """Sizes of components (c, size, next) and edges between them, on the driver: eight bytes each."""
+    rows = table.toArrow().sort_by("c").combine_chunks()
+    after = rows["next"].combine_chunks()
+    first = np.concatenate([[0], np.cumsum(after.value_lengths().to_numpy())])
+    return N.Reach(rows["size"].to_numpy(), first, after.flatten().to_numpy())
 
 
-def from_each(edges: DataFrame, rows_of: Callable[[str, set[str]], list[tuple]], schema: str) -> DataFrame:
-    """Rows made of each node and what it reaches: nodes are dealt to tasks, each of which is given the edges, at most BOUND."""
-    after: dict[str, list[str]] = {}
-    for r in edges.select("src", "dst").collect():
-        after.setdefault(r.src, []).append(r.dst)
+def from_each(step: DataFrame, table: DataFrame, rows_of: Callable[[list[int]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Rows made from the numbers of all components (c, ...), which are dealt to tasks."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for node in batch.column(0).to_pylist():
-                rows += rows_of(node, reach(after, node))
-                if len(rows) > 50_000:
-                    yield record_batch(rows, schema)
-                    rows = []
-            yield record_batch(rows, schema)
+            yield from rows_of(batch.column(0).to_pylist())
 
-    return edges.select("src").distinct().mapInArrow(run, schema)
+    n = table.count()
+    tasks = max(step.sparkSession.sparkContext.defaultParallelism, n // STARTS + 1)
+    return step.sparkSession.range(0, n, 1, tasks).mapInArrow(run, schema)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of at least one edge."""
     step = cut(adjacency(edges))
     if fits(step):
-        return from_each(step, lambda a, seen: [(a, b) for b in seen], f"src {kind_of(step)}, dst {kind_of(step)}")
+        table, context = condensed_table(step), step.sparkSession.sparkContext
+        reach = context.broadcast(reach_of(table.select("c", F.size("members").alias("size"), "next")))
+        labels = context.broadcast(table.select("c", "members").toArrow().sort_by("c")["members"].combine_chunks().flatten())
+
+        def pairs(numbers: list[int]) -> Iterator[pa.RecordBatch]:
+            for a, b in reach.value.pairs(numbers):
+                yield pa.RecordBatch.from_arrays([labels.value.take(pa.array(a)), labels.value.take(pa.array(b))], ["src", "dst"])
+
+        return from_each(step, table, pairs, f"src {kind_of(step)}, dst {kind_of(step)}")
     seen, frontier = step, step
     while True:
         new = frontier.alias("f").join(step.alias("e"), F.col("f.dst") == F.col("e.src")).select("f.src", "e.dst").distinct()
@@ -185,18 +137,13 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     step, seen = cut(adjacency(edges)), cut(starts.select("node").distinct())
     if fits(step) and fits(seen):
 
-        def search(pairs: Pairs) -> list[tuple]:
-            after = following([p for p in pairs if p[0] is not None])
-            found = {b for a, b in pairs if a is None}
-            ahead = list(found)
-            while ahead:
-                for b in after.get(ahead.pop(), ()):
-                    if b not in found:
-                        found.add(b)
-                        ahead.append(b)
-            return [(x,) for x in found]
-
-        return alone(step.unionByName(seen.select(F.lit(None).cast(dict(step.dtypes)["src"]).alias("src"), F.col("node").alias("dst"))), search, f"node {kind_of(step)}")
+        def search(g: N.Numbered) -> list[pa.Array]:
+            marked = np.zeros(g.n, bool)
+            marked[g.src[g.src == g.dst]] = True
+            return [g.labels.filter(pa.array(N.reached(g, marked)))]
+
+        # An edge from a node to itself marks it.
+        return alone(step.unionByName(seen.select(F.col("node").alias("src"), F.col("node").alias("dst"))), search, f"node {kind_of(step)}")
     frontier = seen
     while True:
         new = frontier.join(step, frontier.node == step.src).select(F.col("dst").alias("node")).distinct()
@@ -250,11 +197,19 @@ def components(edges: DataFrame) -> DataFrame:
         found.append(part)
         rest = core.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         core = cut(rest.select("src", "dst"))
-    out = alone(core, lambda pairs: list(strong(pairs).items()), f"node {kind_of(core)}, component {kind_of(core)}")
+
+    def several_of(g: N.Numbered) -> list[pa.Array]:
+        of = N.components(g.n, g.src, g.dst)
+        at = np.flatnonzero(np.bincount(of, minlength=g.n)[of] > 1)
+        return [g.labels.take(pa.array(at)), g.labels.take(pa.array(of[at]))]
+
+    out = alone(core, several_of, f"node {kind_of(core)}, component {kind_of(core)}")
+    if not found:
+        return by_merge(cut(out))
     for part in found:
         out = out.unionByName(part)
     several = out.groupBy("component").count().where("count > 1").select("component")
-    return cut(out.join(several, "component", "left_semi").select("node", "component"))
+    return by_merge(cut(out.join(several, "component", "left_semi").select("node", "component")))
 
 
 def condensed(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -281,12 +236,20 @@ def tears(edges: DataFrame) -> DataFrame:
 def propagation_cost(edges: DataFrame) -> DataFrame:
     """Share of pairs, each node with itself included, that a change can pass between.
 
-    What each node reaches is only counted. Beyond BOUND edges, pairs of components stand for those of their members.
+    Pairs of components stand for those of their members, and what each reaches is only counted.
     """
     step = cut(adjacency(edges))
     n = nodes(step).agg(F.count("*").alias("n"))
     if fits(step):
-        pairs = from_each(step, lambda a, seen: [(len(seen - {a}),)], "k long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"))
+        table = condensed_table(step)
+        reach = step.sparkSession.sparkContext.broadcast(reach_of(table.select("c", F.size("members").alias("size"), "next")))
+
+        def counted(numbers: list[int]) -> Iterator[pa.RecordBatch]:
+            size = reach.value.size
+            k = sum(int(size[c]) * (int(size[c]) - 1 + int(size[list(seen)].sum())) for c, seen in reach.value.each(numbers))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["k"])
+
+        pairs = from_each(step, table, counted, "k long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pairs"))
     else:
         of = components(step)
         sizes = of.groupBy("component").agg(F.count("*").alias("size"))
@@ -321,17 +284,10 @@ def ratings(edges: DataFrame, of: DataFrame) -> DataFrame:
     return row.select("cost", rate(F.col("cost"), 0.10, 0.30).alias("cost_rating"), "largest_cycle", rate(F.col("largest_cycle"), 2, 10, equal=True).alias("cycle_rating"), "quality", rate(F.col("quality"), 0.80, 0.50, rising=True).alias("quality_rating"))
 
 
-def ranked(pairs: Pairs) -> list[tuple]:
+def ranked(g: N.Numbered) -> list[pa.Array]:
     """(node, component, level) of all nodes."""
-    of = strong(pairs)
-    ahead: dict[str, set[str]] = {c: set() for c in of.values()}
-    for a, b in pairs:
-        if of[a] != of[b]:
-            ahead[of[a]].add(of[b])
-    level: dict[str, int] = {}
-    for c in dict.fromkeys(of.values()):
-        level[c] = 1 + max((level[d] for d in ahead[c]), default=-1)
-    return [(n, c, level[c]) for n, c in of.items()]
+    of, level = N.ranked(g)
+    return [g.labels, g.labels.take(pa.array(of)), pa.array(level)]
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -367,62 +323,14 @@ def bands(edges: DataFrame) -> DataFrame:
     return levels(edges).select("node", F.when(F.col("level") > 0, 1).otherwise(0).alias("band"), F.col("level").alias("longest"))
 
 
-def greedy(power: float, passes: int) -> Callable[[list[tuple]], list[tuple]]:
-    """Assignment that no single move of a node to a neighbour's cluster makes cheaper, or what `passes` rounds reach."""
-
-    def search(rows: list[tuple]) -> list[tuple]:
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in rows:
-            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-            near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
-        order = sorted(near)
-        of = {node: node for node in order}
-        size, inner = dict.fromkeys(order, 1), dict.fromkeys(order, 0.0)
-        whole = float(len(order)) ** power
-        held = lambda n, w: w * (float(n) ** power - whole)  # noqa: E731  cost of a cluster's inner weight over that of weight between clusters
-        for _ in range(passes):
-            moved = False
-            for node in order:
-                own = of[node]
-                to: dict[str, float] = {}
-                for other, w in near[node].items():
-                    to[of[other]] = to.get(of[other], 0.0) + w
-                mine = to.get(own, 0.0)
-                leave = held(size[own] - 1, inner[own] - mine) - held(size[own], inner[own])
-                best, goal = -1e-9, own
-                for cluster in sorted(to):
-                    if cluster != own:
-                        gain = leave + held(size[cluster] + 1, inner[cluster] + to[cluster]) - held(size[cluster], inner[cluster])
-                        if gain < best:
-                            best, goal = gain, cluster
-                if goal != own:
-                    size[own], inner[own] = size[own] - 1, inner[own] - mine
-                    size[goal], inner[goal] = size[goal] + 1, inner[goal] + to[goal]
-                    of[node], moved = goal, True
-            if not moved:
-                break
-        least: dict[str, str] = {}
-        for node in order:
-            least.setdefault(of[node], node)
-        return [(node, least[of[node]]) for node in order]
-
-    return search
-
-
 def search_clusters(edges: DataFrame, power: float = 2.0, passes: int = 50) -> DataFrame:
-    """Assignment (node, cluster) of low coordination cost by deterministic moves; a cluster is named by its least node. For graphs of at most BOUND edges; a larger one raises."""
-    step = cut(weighted(edges))
-    if not fits(step):
-        raise ValueError(f"cluster search is for graphs of at most {BOUND} edges")
-    search = greedy(power, passes)
+    """Assignment (node, cluster) of low coordination cost by deterministic moves, one after the other, so one worker makes them all; a cluster is named by its least node."""
 
-    def run(batches: Iterator) -> Iterator:
-        rows: list[tuple] = []
-        for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns))
-        yield record_batch(search(rows), "node string, cluster string")
+    def search(g: N.Numbered) -> list[pa.Array]:
+        return [g.labels, g.labels.take(pa.array(N.greedy(g, power, passes)))]
 
-    return step.select("src", "dst", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInArrow(run, "node string, cluster string")
+    step = cut(weighted(edges))
+    return alone(step.select("src", "dst", F.col("weight").cast("double").alias("weight")), search, "node string, cluster string")
 
 
 def clusters(edges: DataFrame, of: DataFrame) -> DataFrame:
