@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import explode_lines, lines, trim, uuid5
@@ -56,9 +56,9 @@ def issues(diagrams: DataFrame) -> DataFrame:
 
 
 def tool_lines(texts: DataFrame, form: str = r"(?i)error|warning", keep: int = 20) -> DataFrame:
-    """The first `keep` lines of each output that fit a form."""
-    hits = explode_lines(texts, "doc").where(F.col("line").rlike(form))
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))).where(F.col("r") <= keep).drop("r")
+    """The first `keep` lines of each output that fit a form; an output is one text and is not sorted again."""
+    numbered = F.transform(lines(F.col("text")), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+    return texts.select("doc", F.inline(F.slice(F.filter(numbered, lambda x: x["line"].rlike(form)), 1, keep)))
 
 
 def paper_graph(papers: DataFrame, namespace: str) -> DataFrame:
