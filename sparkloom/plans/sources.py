@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.shared import spread
 from sparkloom.sources import files as S
 from sparkloom.sources import formats as R
 
@@ -31,7 +32,7 @@ PAPER = "CASE p_partkey % 8 WHEN 0 THEN 'https://arxiv.org/abs/1' WHEN 1 THEN '2
 
 
 def texts(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS doc", f"{text} AS text")
+    return spread(spark.read.parquet(f"{sf}/part.parquet")).selectExpr("p_partkey AS doc", f"{text} AS text")
 
 
 QUERIES = {
