@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.shared import grouped
+
 
 def csv_lines(rows: DataFrame, order: str) -> DataFrame:
     """A table as lines of CSV (n, value), in an order: quoted where a value has a comma, a quote or a line feed, doubles with three digits."""
@@ -38,22 +41,21 @@ def load_chunks(rows: DataFrame, send: Callable[[int, list], tuple[int, int, int
     """Send the rows of each chunk by `send` (chunk, rows) -> (inserted, updated, skipped), once more one by one if that fails, and return the counts (chunk, sent, inserted, updated, skipped, failed); chunks are bounded by how they were cut."""
     columns = [c for c in rows.columns if c != key]
 
-    def deliver(pdf):
-        import pandas as pd
-
-        chunk, items = int(pdf[key].iloc[0]), pdf[columns].to_dict("records")
+    def deliver(chunk: int, held: list[tuple]) -> list[tuple]:
+        items = [dict(zip(columns, row[1:])) for row in held]
         try:
-            done, failed = send(chunk, items), 0
+            done, failed = send(int(chunk), items), 0
         except Exception:  # the store says no: find out which rows it takes
             done, failed = (0, 0, 0), 0
             for item in items:
                 try:
-                    done = tuple(a + b for a, b in zip(done, send(chunk, [item])))
+                    done = tuple(a + b for a, b in zip(done, send(int(chunk), [item])))
                 except Exception:
                     failed += 1
-        return pd.DataFrame([(chunk, len(items), *done, failed)], columns=[key, "sent", "inserted", "updated", "skipped", "failed"])
+        return [(chunk, len(items), *done, failed)]
 
-    return rows.groupBy(key).applyInPandas(deliver, f"{key} long, sent long, inserted long, updated long, skipped long, failed long")
+    names = (key, "sent", "inserted", "updated", "skipped", "failed")
+    return grouped(rows, key, deliver, pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names))
 
 
 def enforcement_rules(allowed: DataFrame, modules: DataFrame) -> DataFrame:
